@@ -24,14 +24,13 @@ def distinct_tickers(df: DataFrame) -> DataFrame:
 def ticker_dictionary(df: DataFrame, one_task_names: int = ONE_TASK_NAMES) -> DataFrame:
     """``(Ticker, ticker_id)``: ids from 1 in ticker order, a null ticker first.
 
-    The distinct names are written out first. A longer list than ``one_task_names`` is sorted
-    over the cluster and numbered from per-partition offsets.
+    The distinct names are written out first, which gives their number and size. A longer list
+    than ``one_task_names`` is sorted over the cluster and numbered from per-partition offsets.
     """
     names = settle(distinct_tickers(df), "tickers")
     in_order = F.col(TICKER).asc_nulls_first()
     if names.count() <= one_task_names:
-        ids = names.withColumn(TICKER_ID, F.row_number().over(Window.orderBy(in_order)))
-        return settle(ids, "ticker-dictionary")
+        return names.withColumn(TICKER_ID, F.row_number().over(Window.orderBy(in_order)))
 
     # monotonically_increasing_id: partition number in the upper bits, position in the lower 33
     placed = settle(
@@ -55,8 +54,8 @@ def ticker_dictionary(df: DataFrame, one_task_names: int = ONE_TASK_NAMES) -> Da
 def encode_ticker(df: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Replace ``Ticker`` by its id. Rows without a ticker stay, with a null id.
 
-    The dictionary is a written table, so its true size decides between a broadcast and a
-    shuffled join, and the latter splits hot tickers at run time.
+    The dictionary's names are a written table, so their true size decides between a broadcast
+    and a shuffled join, and the latter splits hot tickers at run time.
     """
     return df.join(dictionary, TICKER, "left").drop(TICKER)
 

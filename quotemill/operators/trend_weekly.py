@@ -36,18 +36,16 @@ def fit_trend_weekly(series: DataFrame) -> DataFrame:
     that their true size decides how they are joined. A ticker with one day gets no model, a
     weekday without data the factor 1.
     """
-    first = series.groupBy(TICKER_ID).agg(
-        F.count("*").alias("n"), F.min("ds").alias("t0"), F.max("ds").alias("t1")
+    day = F.unix_date("ds").cast("double")
+    slope = F.regr_slope("y", day)
+    trend = series.groupBy(TICKER_ID).agg(
+        F.count("*").alias("n"),
+        F.min("ds").alias("t0"),
+        F.max("ds").alias("t1"),
+        (F.regr_intercept("y", day) + slope * F.unix_date(F.min("ds"))).alias("intercept"),
+        slope.alias("slope"),
     )
-    first = settle(first.where("n >= 2"), "series-range")
-
-    t = F.datediff("ds", "t0").cast("double")
-    trend = (
-        series.join(first, TICKER_ID)
-        .groupBy(TICKER_ID, "n", "t0", "t1")
-        .agg(F.regr_intercept("y", t).alias("intercept"), F.regr_slope("y", t).alias("slope"))
-    )
-    trend = settle(trend, "trend")
+    trend = settle(trend.where("n >= 2"), "trend")
 
     ratio = F.try_divide(F.col("y"), _trend())
     by_weekday = [

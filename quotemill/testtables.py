@@ -9,20 +9,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def price_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One bar per brand and ship day: the brand is the ticker, the unit price the price."""
+def _priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as trades: the brand is the ticker, the ship day the date."""
     lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("Ticker"))
-    trades = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).withColumns(
+        {
+            "Date": F.col("l_shipdate").cast("date"),
+            "price": F.col("l_extendedprice") / F.col("l_quantity"),
+        }
+    )
+
+
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line as a price row of its own: many rows per ticker and day."""
+    return _priced_lines(spark, sf_dir).select(
         "Ticker",
-        F.col("l_shipdate").cast("date").alias("Date"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-        "l_quantity",
-        # (l_orderkey, l_linenumber) is not unique
-        F.struct(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
-        ).alias("place"),
+        "Date",
+        F.col("price").alias("Close"),
+        F.col("l_quantity").alias("Volume"),
+        "l_orderkey",
+        "l_linenumber",
     )
+
+
+def price_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One bar per ticker and day."""
+    # (l_orderkey, l_linenumber) is not unique
+    place = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    trades = _priced_lines(spark, sf_dir).withColumn("place", place)
     return trades.groupBy("Ticker", "Date").agg(
         F.min_by("price", "place").alias("Open"),
         F.max("price").alias("High"),
@@ -39,11 +54,11 @@ def _money(value: Column) -> Column:
     return (F.floor(value * 100) / 100).cast("decimal(18,2)").cast("string")
 
 
-def raw_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_prices(bars: DataFrame) -> DataFrame:
     """The bars made dirty by day of month: lost tickers, bad dates, junk numbers, copies."""
     day = F.dayofmonth("Date")
     close = _money(F.col("Close"))
-    dirty = price_bars(spark, sf_dir).select(
+    dirty = bars.select(
         F.when(day == 3, None).otherwise(F.col("Ticker")).alias("Ticker"),
         F.when(day == 7, "n/a").when(day != 8, F.col("Date").cast("string")).alias("Date"),
         F.concat(F.lit("USD "), _money(F.col("Open"))).alias("Open"),
