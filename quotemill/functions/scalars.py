@@ -7,29 +7,38 @@ from pyspark.sql import Column, functions as F, types as T
 # Fixed value: everything the original number scrub deletes.
 NOT_DIGIT_OR_POINT = "[^0-9.]"
 
+POSITIVE_NUMBER = r"^(\d+\.?\d*|\.\d+)$"
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
 
 def finite(value: Column) -> Column:
-    """Null for NaN and for both infinities."""
-    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
+    """Null for NaN and for both infinities. ``value`` should be a plain column."""
+    return F.when((value < float("inf")) & (value > float("-inf")), value)
 
 
-def scrub_number_compat(value: Column) -> Column:
+def scrub_number_compat(text: Column) -> Column:
     """Keep digits and points of the printed value: signs and exponents are lost."""
-    return F.regexp_replace(value.cast("string"), NOT_DIGIT_OR_POINT, "").try_cast("double")
+    digits = F.regexp_replace(text, NOT_DIGIT_OR_POINT, "")
+    return F.when(digits.rlike(POSITIVE_NUMBER), digits.try_cast("double"))
+
+
+def strip_number(text: Column) -> Column:
+    """Text without currency sign, thousands commas and blanks."""
+    return F.regexp_replace(text, r"[$,\s]", "")
 
 
-def scrub_number(value: Column, dtype: T.DataType) -> Column:
-    """Number behind ``value``; numeric input is cast, never printed.
+def number_in(stripped: Column) -> Column:
+    """Number in a stripped text, perhaps infinite.
 
-    Text is read as it stands once currency sign, thousands commas and blanks are gone. What
-    is left over (``USD 12.50``) falls back to its digits, with a minus in front of them kept.
+    What is no number as it stands (``USD12.50``) falls back to its digits, with a minus in
+    front of them kept. A cast that fails costs far more than a pattern that does not match.
     """
-    if not isinstance(dtype, T.StringType):
-        return finite(value.try_cast("double"))
-    plain = F.regexp_replace(value, r"[$,\s]", "").try_cast("double")
-    digits = scrub_number_compat(value)
-    signed = F.when(value.rlike("^[^0-9.]*-[^0-9.]*[0-9.]"), -digits).otherwise(digits)
-    return F.when(plain.isNotNull(), finite(plain)).otherwise(signed)
+    digits = scrub_number_compat(stripped)
+    return (
+        F.when(stripped.rlike(NUMBER), stripped.try_cast("double"))
+        .when(stripped.rlike("^[^0-9.]*-[^0-9.]*[0-9.]"), -digits)
+        .otherwise(digits)
+    )
 
 
 def parse_date(value: Column, dtype: T.DataType) -> Column:

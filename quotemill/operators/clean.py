@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from quotemill.functions.scalars import parse_date, scrub_number, scrub_number_compat
+from quotemill.functions.scalars import finite, number_in, parse_date, scrub_number_compat, strip_number
 from quotemill.schemas import CRITICAL_COLUMNS, DATE, NUMERIC_COLUMNS, TICKER, TICKER_ID
 from quotemill.session import settle
 
@@ -81,13 +81,13 @@ def scrub_numbers(df: DataFrame, compat: bool = False) -> DataFrame:
 
     ``compat`` repeats the original scrub, which loses signs and exponents.
     """
-    present = [name for name in NUMERIC_COLUMNS if name in df.columns]
-    types = {field.name: field.dataType for field in df.schema.fields}
-    return df.withColumns(
-        {
-            name: scrub_number_compat(F.col(f"`{name}`"))
-            if compat
-            else scrub_number(F.col(f"`{name}`"), types[name])
-            for name in present
-        }
+    present = {name: F.col(f"`{name}`") for name in NUMERIC_COLUMNS if name in df.columns}
+    if compat:
+        return df.withColumns({name: scrub_number_compat(c.cast("string")) for name, c in present.items()})
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    # one projection per step, so that no step is worked out twice
+    df = df.withColumns({name: strip_number(c) for name, c in present.items() if name in texts})
+    df = df.withColumns(
+        {name: number_in(c) if name in texts else c.try_cast("double") for name, c in present.items()}
     )
+    return df.withColumns({name: finite(c) for name, c in present.items()})

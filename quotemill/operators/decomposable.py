@@ -13,43 +13,14 @@ ticker's partials together for one small solve. Scoring is column arithmetic.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from quotemill.functions.gram import WEEK, YEAR, ModelSpec, block_partials, solve_ticker
 from quotemill.operators.trend_weekly import z_score
 from quotemill.schemas import TICKER_ID
 from quotemill.session import settle
 
-WEEK = 7.0
-YEAR = 365.25
-
-
-@dataclass(frozen=True)
-class ModelSpec:
-    """The reference's settings and the published defaults behind them."""
-
-    changepoints: int = 25
-    changepoint_range: float = 0.8
-    changepoint_prior: float = 0.05
-    seasonality_prior: float = 10.0
-    trend_prior: float = 5.0
-    weekly_order: int = 3
-    yearly_order: int = 10
-    passes: int = 4
-
-    @property
-    def trend_terms(self) -> int:
-        return 2 + self.changepoints
-
-    @property
-    def terms(self) -> int:
-        return self.trend_terms + 2 * (self.weekly_order + self.yearly_order)
-
-
 DEFAULT_SPEC = ModelSpec()
 
 _doubles = T.ArrayType(T.DoubleType())
@@ -135,120 +106,25 @@ def starting_state(series: DataFrame, spec: ModelSpec = DEFAULT_SPEC) -> DataFra
 # ------------------------------------------------------------------ one pass
 
 
-def _design(days: np.ndarray, t: np.ndarray, knots: np.ndarray, spec: ModelSpec) -> tuple[np.ndarray, np.ndarray]:
-    """Trend columns and seasonal columns of a block of days."""
-    trend = np.column_stack([t, np.ones_like(t), np.maximum(t[:, None] - knots[None, :], 0.0)])
-    waves = []
-    for period, order in ((WEEK, spec.weekly_order), (YEAR, spec.yearly_order)):
-        angle = 2 * np.pi * days[:, None] * np.arange(1, order + 1)[None, :] / period
-        waves += [np.sin(angle), np.cos(angle)]
-    return trend, np.column_stack(waves)
-
-
-def _block_partial(block, spec: ModelSpec) -> tuple[np.ndarray, np.ndarray, float]:
-    """JᵀJ, Jᵀr and rᵀr of one block at the current coefficients."""
-    days = np.asarray(block.days, dtype=float)
-    first, last = (pd.Timestamp(d).toordinal() - pd.Timestamp(0).toordinal() for d in (block.t0, block.t1))
-    theta = np.asarray(block.theta)
-    trend, waves = _design(days, (days - first) / (last - first), np.asarray(block.knots), spec)
-    level = trend @ theta[: spec.trend_terms]
-    season = waves @ theta[spec.trend_terms :]
-    residual = np.asarray(block.values_, dtype=float) / block.y_scale - level * (1 + season)
-    jacobian = np.column_stack([trend * (1 + season)[:, None], waves * level[:, None]])
-    return jacobian.T @ jacobian, jacobian.T @ residual, float(residual @ residual)
-
-
-def _partials(spec: ModelSpec):
-    """Batches of blocks to one partial per ticker of the batch."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep = [f.name for f in STATE.fields]
-        for batch in batches:
-            rows = {}
-            for block in batch.rename(columns={"values": "values_"}).itertuples(index=False):
-                gram, moment, sse = _block_partial(block, spec)
-                row = rows.get(block.ticker_id)
-                if row is None:
-                    rows[block.ticker_id] = [*(getattr(block, name) for name in keep), gram, moment, sse]
-                else:
-                    row[-3] += gram
-                    row[-2] += moment
-                    row[-1] += sse
-            for row in rows.values():
-                row[-3] = row[-3].ravel()
-            yield pd.DataFrame(list(rows.values()), columns=[f.name for f in PARTIAL.fields])
-
-    return run
-
-
-def _solve(spec: ModelSpec):
-    """A ticker's partials to its next coefficients.
-
-    Ridge for the normal priors; the double-exponential prior of the rate changes is met by a
-    ridge that is reweighted until it settles, on the summed matrix alone.
-    """
-
-    def run(parts: pd.DataFrame) -> pd.DataFrame:
-        first = parts.iloc[0]
-        k = spec.terms
-        gram = np.sum(np.stack(parts["gram"].to_list()), axis=0).reshape(k, k)
-        moment = np.sum(np.stack(parts["moment"].to_list()), axis=0)
-        sse, n = float(parts["sse"].sum()), float(first["n"])
-        old = np.asarray(first["theta"])
-        target = moment + gram @ old
-        target_square = sse + 2 * old @ moment + old @ gram @ old
-
-        theta = old
-        variance = max(sse / n, 1e-10)
-        penalty = np.full(k, 1 / spec.seasonality_prior**2)
-        penalty[:2] = 1 / spec.trend_prior**2
-        rates = slice(2, spec.trend_terms)
-        for _ in range(50):
-            penalty[rates] = 1 / (spec.changepoint_prior * np.maximum(np.abs(theta[rates]), 1e-4))
-            new = np.linalg.solve(gram + variance * np.diag(penalty), target)
-            fitted = (target_square - 2 * new @ target + new @ gram @ new) / n
-            variance = max(fitted, 1e-10)
-            done = np.max(np.abs(new - theta)) < 1e-9
-            theta = new
-            if done:
-                break
-        state = {f.name: [first[f.name]] for f in STATE.fields}
-        state["theta"] = [theta]
-        return pd.DataFrame(state)
-
-    return run
-
-
 def gram_partials(blocks: DataFrame, state: DataFrame, spec: ModelSpec = DEFAULT_SPEC) -> DataFrame:
     """Partial Gram matrices, about one per ticker and partition."""
-    return blocks.join(state, TICKER_ID).mapInPandas(_partials(spec), PARTIAL)
+    return blocks.join(state, TICKER_ID).mapInPandas(block_partials(spec), PARTIAL)
 
 
 def next_state(partials: DataFrame, spec: ModelSpec = DEFAULT_SPEC) -> DataFrame:
     """One solve per ticker. A ticker has no more partials than calendar years."""
-    return partials.groupBy(TICKER_ID).applyInPandas(_solve(spec), STATE)
+    return partials.groupBy(TICKER_ID).applyInPandas(solve_ticker(spec), STATE)
 
 
 def fit_decomposable(series: DataFrame, spec: ModelSpec = DEFAULT_SPEC) -> DataFrame:
-    """Coefficients per ticker: the state after the last pass, with the figures scoring needs.
-
-    ``sigma`` is the residual spread; ``rate_change`` the mean absolute rate change and
-    ``rate`` the number of changepoints per unit of ``t``, both for the bounds.
-    """
+    """Coefficients per ticker: the state after the last pass, its segments, and the residual
+    spread ``sigma``."""
     blocks = year_blocks(series)
     state = settle(starting_state(series, spec), "model-state")
     for _ in range(spec.passes):
         state = settle(next_state(gram_partials(blocks, state, spec), spec), "model-state")
 
-    rates = F.slice("theta", 3, spec.changepoints)
-    used = F.size(F.filter("knots", lambda c: c < 1))
-    total = F.aggregate(rates, F.lit(0.0), lambda a, d: a + F.abs(d))
-    state = state.withColumns(
-        {
-            "rate": used.cast("double"),
-            "rate_change": F.coalesce(F.try_divide(total, used), F.lit(0.0)),
-        }
-    )
+    state = _segments(state, spec)
     error = F.col("y") - F.col("yhat")
     fitted = _with_components(series.join(state, TICKER_ID), spec)
     spread = fitted.groupBy(TICKER_ID).agg(F.sqrt(F.avg(error * error)).alias("sigma"))
@@ -258,11 +134,37 @@ def fit_decomposable(series: DataFrame, spec: ModelSpec = DEFAULT_SPEC) -> DataF
 # -------------------------------------------------------------------- scoring
 
 
-def _trend(t: Column, spec: ModelSpec) -> Column:
-    level = F.get("theta", F.lit(0)) * t + F.get("theta", F.lit(1))
-    for j in range(spec.changepoints):
-        level = level + F.get("theta", F.lit(2 + j)) * F.greatest(t - F.get("knots", F.lit(j)), F.lit(0.0))
-    return level
+def _segments(state: DataFrame, spec: ModelSpec) -> DataFrame:
+    """Append what scoring needs instead of the rate changes.
+
+    ``slopes`` and ``offsets`` describe the trend's straight pieces, so that a day costs one
+    lookup and not a term per changepoint. ``rate`` is the number of changepoints per unit of
+    ``t`` and ``rate_change`` their mean absolute size.
+    """
+    rates = F.slice("theta", 3, spec.changepoints)
+    turns = F.zip_with(rates, "knots", lambda rate, knot: -rate * knot)
+    pieces = F.sequence(F.lit(0), F.lit(spec.changepoints))
+
+    def total(values: Column, first: Column, number: Column) -> Column:
+        return F.aggregate(F.slice(values, 1, number), first, lambda a, b: a + b)
+
+    used = F.size(F.filter("knots", lambda knot: knot < 1))
+    sizes = F.transform(rates, F.abs)
+    return state.withColumns(
+        {
+            "slopes": F.transform(pieces, lambda i: total(rates, F.get("theta", F.lit(0)), i)),
+            "offsets": F.transform(pieces, lambda i: total(turns, F.get("theta", F.lit(1)), i)),
+            "rate": used.cast("double"),
+            "rate_change": F.coalesce(
+                F.try_divide(total(sizes, F.lit(0.0), F.lit(spec.changepoints)), used), F.lit(0.0)
+            ),
+        }
+    )
+
+
+def _trend(t: Column) -> Column:
+    piece = F.size(F.filter("knots", lambda knot: knot < t))
+    return F.get("slopes", piece) * t + F.get("offsets", piece)
 
 
 def _waves(day: Column, period: float, order: int, start: int) -> Column:
@@ -287,7 +189,7 @@ def _with_components(rows: DataFrame, spec: ModelSpec) -> DataFrame:
     day = F.unix_date("ds").cast("double")
     return (
         rows.withColumn("t", F.datediff("ds", "t0") / F.datediff("t1", "t0"))
-        .withColumn("trend", _trend(F.col("t"), spec) * F.col("y_scale"))
+        .withColumn("trend", _trend(F.col("t")) * F.col("y_scale"))
         .withColumn("weekly", _weekly(day, spec))
         .withColumn("yearly", _yearly(day, spec))
         .withColumn("multiplicative_terms", F.col("weekly") + F.col("yearly"))

@@ -41,7 +41,7 @@ def actual_vs_predicted(forecast: DataFrame, series: DataFrame) -> DataFrame:
 def _bin(value: Column, bins: int) -> Column:
     """Number of the equal-width bin from ``lo`` to ``hi``; the top edge belongs to the last."""
     place = F.try_divide(value - F.col("lo"), F.col("hi") - F.col("lo")) * bins
-    return F.coalesce(F.least(F.floor(place), F.lit(bins - 1)), F.lit(0)).cast("int")
+    return F.least(F.coalesce(F.floor(place), F.lit(0)), F.lit(bins - 1)).cast("int")
 
 
 def value_range(forecast: DataFrame) -> DataFrame:

@@ -37,12 +37,16 @@ def price_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bar per ticker and day."""
     # (l_orderkey, l_linenumber) is not unique
     place = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    trades = _priced_lines(spark, sf_dir).withColumn("place", place)
-    return trades.groupBy("Ticker", "Date").agg(
-        F.min_by("price", "place").alias("Open"),
+    lines = _priced_lines(spark, sf_dir).withColumn("place", place)
+
+    def price(line: Column) -> Column:
+        return line["l_extendedprice"] / line["l_quantity"]
+
+    return lines.groupBy("Ticker", "Date").agg(
+        price(F.min("place")).alias("Open"),
         F.max("price").alias("High"),
         F.min("price").alias("Low"),
-        F.max_by("price", "place").alias("Close"),
+        price(F.max("place")).alias("Close"),
         F.sum("l_quantity").alias("Volume"),
         F.lit(0.0).alias("Dividends"),
         F.lit(0.0).alias("Stock Splits"),
