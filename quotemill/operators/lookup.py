@@ -79,74 +79,49 @@ def _answer(rows: DataFrame) -> DataFrame:
     )
 
 
-def predict_points(requests: DataFrame, forecast: DataFrame, score: Score, known: DataFrame) -> DataFrame:
-    """The stored prediction of each accepted request, or the model's where no day is stored."""
-    wanted = accepted(check_points(requests, known))
+def _stored_or_scored(wanted: DataFrame, forecast: DataFrame, score: Score) -> DataFrame:
+    """Rows of ``(request_id, ticker_id, ds)`` with the stored values, or the model's."""
     stored = forecast.select(TICKER_ID, "ds", *[F.col(c).alias(f"stored_{c}") for c in STORED])
     scored = score(wanted.join(stored, [TICKER_ID, "ds"], "left"))
     hit = F.col("stored_yhat").isNotNull()
-    return _answer(
-        scored.withColumns({c: F.when(hit, F.col(f"stored_{c}")).otherwise(F.col(c)) for c in STORED})
-    )
+    return scored.withColumns({c: F.when(hit, F.col(f"stored_{c}")).otherwise(F.col(c)) for c in STORED})
 
 
-def pack_months(forecast: DataFrame) -> DataFrame:
-    """The forecast as one row per ticker and month with an array of its days (at most 31)."""
-    return (
-        forecast.withColumn("month", F.trunc("ds", "month"))
-        .groupBy(TICKER_ID, "month")
-        .agg(F.collect_list(F.struct("ds", *STORED)).alias("days"))
-    )
+def predict_points(requests: DataFrame, forecast: DataFrame, score: Score, known: DataFrame) -> DataFrame:
+    """The stored prediction of each accepted request, or the model's where no day is stored."""
+    return _answer(_stored_or_scored(accepted(check_points(requests, known)), forecast, score))
 
 
 def predict_ranges(
-    requests: DataFrame,
-    months: DataFrame,
-    score: Score,
-    known: DataFrame,
-    fill_gaps: bool = False,
+    requests: DataFrame, forecast: DataFrame, score: Score, known: DataFrame, fill_gaps: bool = False
 ) -> DataFrame:
     """Predictions for all stored days of each accepted range.
 
     A range without a single stored day is evaluated day by day instead; with ``fill_gaps``
     the missing days of the other ranges are too.
 
-    ``months`` is the packed forecast. A request is exploded to the months that can hold stored
-    days and meets one packed row in each, so the equi-join never multiplies a hot ticker's
-    rows, and no request-by-forecast comparison takes place.
+    Without ``fill_gaps`` a range is cut to its ticker's stored span and exploded to months, and a month meets at
+    most 31 stored days: an equi-join whose output is hardly larger than the answer, with no
+    request-by-forecast comparison.
     """
-    wanted = accepted(check_ranges(requests, known))
-    span = months.groupBy(TICKER_ID).agg(
-        F.min("month").alias("from_month"), F.last_day(F.max("month")).alias("to_day")
-    )
-    within = (
-        wanted.join(span, TICKER_ID, "left")
-        .withColumn("from_day", F.greatest("first", "from_month"))
-        .withColumn("to_day", F.least("last", "to_day"))
-        .drop("from_month")
-    )
     request = ["request_id", TICKER_ID, "first", "last"]
-    matched = (
-        within.where("from_day <= to_day")
-        .withColumn(
-            "month",
-            F.explode(
-                F.sequence(F.trunc("from_day", "month"), F.trunc("to_day", "month"), F.expr("interval 1 month"))
-            ),
-        )
-        .join(months, [TICKER_ID, "month"])
-        .select(*request, F.filter("days", lambda d: d["ds"].between(F.col("first"), F.col("last"))).alias("days"))
-        .where(F.size("days") > 0)
-    )
-    hits = matched.select("request_id", TICKER_ID, F.inline("days"))
+    wanted = accepted(check_ranges(requests, known))
+    days = days_between(F.col("first"), F.col("last")).alias("ds")
     if fill_gaps:
-        missing = wanted.select("request_id", TICKER_ID, days_between(F.col("first"), F.col("last")).alias("ds"))
-        missing = missing.join(hits.select("request_id", TICKER_ID, "ds"), ["request_id", TICKER_ID, "ds"], "left_anti")
-    else:
-        answered = matched.select(*request).distinct()
-        missing = wanted.join(answered, request, "left_anti").select(
-            "request_id", TICKER_ID, days_between(F.col("first"), F.col("last")).alias("ds")
-        )
+        return _answer(_stored_or_scored(wanted.select("request_id", TICKER_ID, days), forecast, score))
+
+    stored = forecast.select(TICKER_ID, F.trunc("ds", "month").alias("month"), "ds", *STORED)
+    span = forecast.groupBy(TICKER_ID).agg(F.min("ds").alias("from_day"), F.max("ds").alias("to_day"))
+    begin, end = F.greatest("first", "from_day"), F.least("last", "to_day")
+    months = F.sequence(F.trunc(begin, "month"), F.trunc(end, "month"), F.expr("interval 1 month"))
+    by_month = wanted.join(span, TICKER_ID).where(begin <= end).select(*request, F.explode(months).alias("month"))
+    inside = F.col("ds").between(F.col("first"), F.col("last"))
+    hits = by_month.join(stored, [TICKER_ID, "month"]).where(inside).select("request_id", TICKER_ID, "ds", *STORED)
+
+    of_ticker = stored.select(F.col(TICKER_ID).alias("_ticker"), F.col("month").alias("_month"), "ds")
+    same_month = (F.col(TICKER_ID) == F.col("_ticker")) & (F.col("month") == F.col("_month"))
+    answered = by_month.join(of_ticker, same_month & inside, "left_semi").select(*request).distinct()
+    missing = wanted.join(answered, request, "left_anti").select("request_id", TICKER_ID, days)
     evaluated = score(missing).select("request_id", TICKER_ID, "ds", *STORED)
     return _answer(hits.unionByName(evaluated))
 

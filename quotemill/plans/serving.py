@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 
 from quotemill.operators import lookup
 from quotemill.plans.training import DECOMPOSABLE, Model
-from quotemill.session import settle
 from quotemill.sources.runs import Run
 
 
@@ -22,8 +21,7 @@ def answer_ranges(
     requests: DataFrame, run: Run, model: Model = DECOMPOSABLE, fill_gaps: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Predictions and rejects of a table of range requests."""
-    months = settle(lookup.pack_months(run.forecast), "forecast-months")
     answers = lookup.predict_ranges(
-        requests, months, model.scorer(run.coefficients), run.coefficients, fill_gaps
+        requests, run.forecast, model.scorer(run.coefficients), run.coefficients, fill_gaps
     )
     return answers, lookup.rejects(lookup.check_ranges(requests, run.coefficients))

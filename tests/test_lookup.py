@@ -37,7 +37,7 @@ def points(spark, forecast, known, rows):
 
 def ranges(spark, forecast, known, rows, **options):
     requests = spark.createDataFrame(rows, RANGE_REQUESTS)
-    out = lookup.predict_ranges(requests, lookup.pack_months(forecast), score, known, **options)
+    out = lookup.predict_ranges(requests, forecast, score, known, **options)
     found: dict[int, list] = {}
     for r in sorted(out.collect(), key=lambda r: (r.request_id, r.date)):
         found.setdefault(r.request_id, []).append((r.date, r.predicted_price))
@@ -102,7 +102,7 @@ def test_wide_range_over_several_months_and_beyond(spark, forecast, known):
 def test_hot_ticker_and_repeated_request_ids(spark, forecast, known):
     rows = [(i % 50, 1, "2024-01-20", "2024-01-21") for i in range(300)] + [(0, 2, "2024-02-01", "2024-02-01")]
     requests = spark.createDataFrame(rows, RANGE_REQUESTS)
-    out = lookup.predict_ranges(requests, lookup.pack_months(forecast), score, known)
+    out = lookup.predict_ranges(requests, forecast, score, known)
     assert out.count() == 601
     assert out.where("predicted_price < 0").count() == 0
 
