@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quotemill.schemas import DATE, TICKER_ID
+from quotemill.session import settle
 
-# A ticker's month with more rows than this is cut into slices of about this many.
+# A ticker with more rows than this is cut into slices of about this many.
 ROWS_PER_SLICE = 2_000_000
-# The list of such months is broadcast; the slice size grows so that it never gets longer.
-MAX_BUSY_MONTHS = 100_000
+
+SLICE = ["_series", "_slice", "_slice_day", "_part"]
 
 
 def percent_change(value: Column, previous: Column) -> Column:
@@ -24,57 +25,96 @@ def daily_return(
 
     Rows follow each other by ``Date``; rows of one day by ``Close``, then by the other columns.
 
-    ``one_row_per_day`` states that ``(ticker_id, Date)`` is unique, so that a ticker is no
-    longer than the calendar and one window per ticker is enough. Otherwise a ticker may hold
-    any share of the rows: see ``_previous_close``.
+    One window per ticker finds the previous close, unless a ticker has more than
+    ``rows_per_slice`` rows. They are counted first, from two columns; ``df`` should be a table.
+    ``one_row_per_day`` states that ``(ticker_id, Date)`` is unique: a ticker is then no longer
+    than the calendar, and nothing is counted.
     """
     if "Close" not in df.columns:
         return df
     if one_row_per_day:
-        in_order = Window.partitionBy(TICKER_ID).orderBy(DATE)
-        df = df.withColumn("_previous", F.lag("Close").over(in_order))
+        df = _previous_by_ticker(df, [DATE])
     else:
-        df = _previous_close(df, rows_per_slice)
+        cuts = settle(_cuts(df, rows_per_slice), "cuts")
+        df = _previous_by_ticker(df, _row_order(df)) if cuts.isEmpty() else _previous_by_slice(df, cuts)
     return df.withColumn("Daily_Return", percent_change(F.col("Close"), F.col("_previous"))).drop("_previous")
 
 
-def _previous_close(df: DataFrame, rows_per_slice: int) -> DataFrame:
-    """Previous close per ticker with no task holding a whole ticker.
+def _row_order(df: DataFrame) -> list[str]:
+    rest = [f"`{name}`" for name in df.columns if name not in (DATE, "Close", TICKER_ID)]
+    return [DATE, "Close", *rest]
+
+
+def _previous_by_ticker(df: DataFrame, order: list[str]) -> DataFrame:
+    return df.withColumn("_previous", F.lag("Close").over(Window.partitionBy(TICKER_ID).orderBy(*order)))
 
-    A ticker is cut into months, and a month with too many rows into days, and those into
-    slices by row hash. Within a slice a window finds the previous close. The first row of a
-    slice takes the last close of the slice before, from a table of one row per slice.
-    """
-    columns = [f"`{name}`" for name in df.columns]
-    ties = [F.col("Close")] + [F.col(c) for c in columns if c not in ("`Close`", f"`{DATE}`", f"`{TICKER_ID}`")]
-    slice_keys = ["_series", "_slice_day", "_slice"]
 
-    # rows without a ticker form one series, under a key that joins like any other
-    keyed = df.withColumn("_series", F.coalesce(F.col(TICKER_ID), F.lit(-1))).withColumn(
-        "_month", F.trunc(F.col(DATE), "month")
+def _with_month(df: DataFrame) -> DataFrame:
+    """Rows without a ticker form one series, under a key that joins like any other."""
+    return df.withColumns(
+        {"_series": F.coalesce(F.col(TICKER_ID), F.lit(-1)), "_month": F.trunc(F.col(DATE), "month")}
     )
-    sizes = keyed.groupBy("_series", "_month").agg(F.count("*").alias("_rows"))
-    total = sizes.agg(F.sum("_rows").alias("_total")).scalar()
-    limit = F.greatest(F.lit(rows_per_slice), F.coalesce(total, F.lit(0)) / MAX_BUSY_MONTHS)
-    busy = sizes.where(F.col("_rows") > limit).select(
-        "_series", "_month", F.ceil(F.col("_rows") / limit).alias("_slices")
+
+
+def _cuts(df: DataFrame, rows_per_slice: int) -> DataFrame:
+    """The months of the tickers with too many rows, and where to cut them.
+
+    ``_slice`` numbers runs of months with about ``rows_per_slice`` rows; ``_parts`` says into
+    how many parts the days of a month are cut that has more rows than that by itself.
+    """
+    sizes = _with_month(df).groupBy("_series", "_month").agg(F.count("*").alias("_rows"))
+    series = Window.partitionBy("_series")
+    before = series.orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        sizes.withColumns(
+            {
+                "_all": F.sum("_rows").over(series),
+                "_before": F.coalesce(F.sum("_rows").over(before), F.lit(0)),
+            }
+        )
+        .where(F.col("_all") > rows_per_slice)
+        .select(
+            "_series",
+            "_month",
+            F.floor(F.col("_before") / rows_per_slice).alias("_slice"),
+            F.ceil(F.col("_rows") / rows_per_slice).alias("_parts"),
+        )
     )
-    cut = (
-        keyed.join(F.broadcast(busy), ["_series", "_month"], "left")
-        .withColumn("_slice_day", F.when(F.col("_slices").isNull(), F.col("_month")).otherwise(F.col(DATE)))
-        .withColumn("_slice", F.coalesce(F.pmod(F.xxhash64(*columns), F.col("_slices")), F.lit(0)))
-        .drop("_month", "_slices")
+
+
+def _cut(df: DataFrame, cuts: DataFrame, how: str) -> DataFrame:
+    """Append the slice of every row. Slices of a ticker follow each other in key order."""
+    columns = [f"`{name}`" for name in df.columns]
+    split = F.col("_parts") > 1
+    return (
+        _with_month(df)
+        .join(cuts, ["_series", "_month"], how)
+        .withColumns(
+            {
+                "_slice": F.coalesce("_slice", F.lit(0)),
+                "_slice_day": F.when(split, F.col(DATE)).otherwise(F.lit("0001-01-01").cast("date")),
+                "_part": F.when(split, F.pmod(F.xxhash64(*columns), "_parts")).otherwise(F.lit(0)),
+            }
+        )
+        .select(*columns, *SLICE)
     )
 
-    ends = cut.groupBy(*slice_keys).agg(F.max(F.struct(DATE, "Close")).alias("_end"))
-    before = Window.partitionBy("_series").orderBy("_slice_day", "_slice")
-    ends = ends.select(*slice_keys, F.lag("_end.Close").over(before).alias("_carried"))
 
-    in_order = Window.partitionBy(*slice_keys).orderBy(DATE, *ties)
+def _previous_by_slice(df: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Previous close with no task holding a whole large ticker.
+
+    A window finds it within a slice. The first row of a slice takes the last close of the
+    slice before, from a table with one row per slice of the large tickers.
+    """
+    ends = _cut(df, cuts, "inner").groupBy(*SLICE).agg(F.max(F.struct(DATE, "Close")).alias("_end"))
+    slices = Window.partitionBy("_series").orderBy("_slice", "_slice_day", "_part")
+    carried = ends.select(*SLICE, F.lag("_end.Close").over(slices).alias("_carried"))
+
+    rows = Window.partitionBy(*SLICE).orderBy(*_row_order(df))
     return (
-        cut.withColumn("_at", F.row_number().over(in_order))
-        .withColumn("_lagged", F.lag("Close").over(in_order))
-        .join(ends, slice_keys, "left")
+        _cut(df, cuts, "left")
+        .withColumns({"_at": F.row_number().over(rows), "_lagged": F.lag("Close").over(rows)})
+        .join(carried, SLICE, "left")
         .withColumn("_previous", F.when(F.col("_at") == 1, F.col("_carried")).otherwise(F.col("_lagged")))
-        .select(*columns, "_previous")
+        .select(*[f"`{name}`" for name in df.columns], "_previous")
     )

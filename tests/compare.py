@@ -31,6 +31,16 @@ def rows(names: list[str], records) -> Counter:
     return Counter(tuple(_plain(record[i]) for i in order) for record in records)
 
 
+# Spark's type names for DuckDB's
+TYPE_NAMES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date"}
+
+
+def schemas(df, con, sql: str) -> tuple[dict, dict]:
+    """Column types of both sides, by name."""
+    described = con.execute(f"DESCRIBE {sql}").fetchall()
+    return dict(df.dtypes), {row[0]: TYPE_NAMES.get(str(row[1]), str(row[1])) for row in described}
+
+
 def compare(df, con, sql: str) -> tuple[int, int, list, list]:
     """Row counts of both sides and what only one of them has."""
     result = con.execute(sql)

@@ -6,7 +6,7 @@ import pytest
 
 from quotemill.catalog import QUERIES
 from quotemill.oracles import ORACLES
-from tests.compare import compare, connect
+from tests.compare import compare, connect, schemas
 from tests.conftest import SMALL
 
 
@@ -21,6 +21,9 @@ def test_every_twin_has_a_query():
 
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_same_rows(spark, con, name):
-    found, expected, extra, missing = compare(QUERIES[name](spark, SMALL), con, ORACLES[name])
+    df = QUERIES[name](spark, SMALL)
+    types, expected_types = schemas(df, con, ORACLES[name])
+    assert types == expected_types
+    found, expected, extra, missing = compare(df, con, ORACLES[name])
     assert found == expected > 0
     assert not extra and not missing

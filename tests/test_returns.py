@@ -93,8 +93,7 @@ def test_busy_day_is_split_and_stays_one_chain(spark):
     rng = random.Random(4)
     rows = [(START, round(rng.uniform(1, 9), 3), i, 1) for i in range(500)]
     rows += [(START + dt.timedelta(i), float(i + 1), i, t) for t in (1, 2) for i in range(1, 40)]
-    out = returns._previous_close(frame(spark, rows), rows_per_slice=50)
-    found = out.collect()
+    found = previous_by_slice(frame(spark, rows), 50).collect()
     assert len(found) == len(rows)
     for ticker in (1, 2):
         closes = Counter(r.Close for r in found if r.ticker_id == ticker)
@@ -102,8 +101,14 @@ def test_busy_day_is_split_and_stays_one_chain(spark):
         assert previous.pop(None) == 1
         assert closes - previous == Counter([40.0])
         assert not previous - closes
-    again = returns._previous_close(frame(spark, rows, 13), rows_per_slice=50)
-    assert Counter(map(tuple, again.collect())) == Counter(map(tuple, found))
+    again = previous_by_slice(frame(spark, rows, 13), 50).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, found))
+    sizes = returns._cut(frame(spark, rows), returns._cuts(frame(spark, rows), 50), "left").groupBy(*returns.SLICE).count()
+    assert max(r["count"] for r in sizes.collect()) < 2 * 50
+
+
+def previous_by_slice(df, rows_per_slice):
+    return returns._previous_by_slice(df, returns._cuts(df, rows_per_slice))
 
 
 def test_without_close_nothing_is_added(spark):
@@ -111,7 +116,11 @@ def test_without_close_nothing_is_added(spark):
     assert daily_return(df).columns == ["ticker_id"]
 
 
-def test_no_task_holds_a_whole_ticker(spark):
-    plan = daily_return(frame(spark, skewed_rows(5, days_unique=False)))._jdf.queryExecution().optimizedPlan()
-    main = [line for line in plan.toString().splitlines() if "row_number()" in line]
-    assert main and all("_series" in line and "_slice_day" in line for line in main)
+def test_large_tickers_are_cut_and_small_ones_are_not(spark):
+    rows = skewed_rows(5, days_unique=True)
+    cuts = returns._cuts(frame(spark, rows), 100)
+    assert {r._series for r in cuts.collect()} == {-1, 1}
+    sizes = returns._cut(frame(spark, rows), cuts, "left").groupBy(*returns.SLICE).count().collect()
+    assert max(r["count"] for r in sizes) < 2 * 100
+    assert sum(r["count"] for r in sizes) == len(rows)
+    assert returns._cuts(frame(spark, rows), 10_000).isEmpty()
