@@ -307,6 +307,35 @@ def start_decomposable(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("knot", F.round("knot", 9))
 
 
+def gram_decomposable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summed Gram matrix of the first pass, entry by entry."""
+    series = _series(spark, sf_dir)
+    state = settle(decomposable.starting_state(series), "model-state")
+    partials = decomposable.gram_partials(decomposable.year_blocks(series), state)
+    return (
+        partials.select(TICKER_ID, F.posexplode("gram").alias("place", "value"))
+        .groupBy(TICKER_ID, "place")
+        .agg(F.round(F.sum("value"), 4).alias("value"))
+    )
+
+
+def score_decomposable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring at coefficients both engines can state: the straight-line start with a bend at
+    every changepoint and a share of every wave."""
+    series = _series(spark, sf_dir)
+    state = settle(decomposable.starting_state(series), "model-state")
+    spec = decomposable.DEFAULT_SPEC
+    bends = F.transform(F.sequence(F.lit(1), F.lit(spec.changepoints)), lambda j: (j - 13) / 100)
+    waves = F.transform(F.sequence(F.lit(1), F.lit(spec.terms - spec.trend_terms)), lambda j: 1 / (100.0 + j))
+    given = decomposable.with_segments(
+        state.withColumn("theta", F.concat(F.slice("theta", 1, 2), bends, waves))
+    ).withColumn("sigma", F.col("y_scale") / 100)
+    axis = series_ops.forecast_axis(series)
+    scored = decomposable.score_decomposable(axis, given, components=True)
+    scored = _rounded(scored, 2, *PREDICTED, "trend_lower", "trend_upper")
+    return _rounded(scored, 8, *decomposable.COMPONENTS)
+
+
 def fit_decomposable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decomposable_model(spark, sf_dir)[1]
 
@@ -375,6 +404,8 @@ QUERIES: dict[str, Query] = {
     "predict_range": predict_range,
     "predict_range_filled": predict_range_filled,
     "start_decomposable": start_decomposable,
+    "gram_decomposable": gram_decomposable,
+    "score_decomposable": score_decomposable,
     "fit_decomposable": fit_decomposable,
     "score": score,
     "forecast_decomposable": forecast_decomposable,

@@ -124,7 +124,7 @@ def fit_decomposable(series: DataFrame, spec: ModelSpec = DEFAULT_SPEC) -> DataF
     for _ in range(spec.passes):
         state = settle(next_state(gram_partials(blocks, state, spec), spec), "model-state")
 
-    state = _segments(state, spec)
+    state = with_segments(state, spec)
     error = F.col("y") - F.col("yhat")
     fitted = _with_components(series.join(state, TICKER_ID), spec)
     spread = fitted.groupBy(TICKER_ID).agg(F.sqrt(F.avg(error * error)).alias("sigma"))
@@ -134,7 +134,7 @@ def fit_decomposable(series: DataFrame, spec: ModelSpec = DEFAULT_SPEC) -> DataF
 # -------------------------------------------------------------------- scoring
 
 
-def _segments(state: DataFrame, spec: ModelSpec) -> DataFrame:
+def with_segments(state: DataFrame, spec: ModelSpec = DEFAULT_SPEC) -> DataFrame:
     """Append what scoring needs instead of the rate changes.
 
     ``slopes`` and ``offsets`` describe the trend's straight pieces, so that a day costs one

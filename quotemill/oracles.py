@@ -82,6 +82,37 @@ CTES = {
     "yhat_range": """
         SELECT ticker_id, count(yhat) AS n, min(yhat) AS lo, max(yhat) AS hi, stddev_samp(yhat) AS spread
         FROM predicted GROUP BY ticker_id""",
+    "knot_lists": """
+        SELECT ticker_id, list((knot_day - t0) / CAST(t1 - t0 AS DOUBLE) ORDER BY j) AS knots
+        FROM (SELECT ticker_id, n, t0, t1, unnest(range(1, 26)) AS j FROM line_fit)
+        JOIN (SELECT ticker_id, ds AS knot_day,
+                     row_number() OVER (PARTITION BY ticker_id ORDER BY ds) - 1 AS place_in_days FROM series) d
+          USING (ticker_id)
+        WHERE place_in_days = round_even(j * (floor(n * 0.8) - 1) / least(25, floor(n * 0.8) - 1), 0)
+        GROUP BY ticker_id""",
+    "line_start": """
+        SELECT ticker_id, t0, t1, intercept, slope, knots,
+               (SELECT max(abs(y)) FROM series WHERE series.ticker_id = line_fit.ticker_id) AS y_scale
+        FROM line_fit JOIN knot_lists USING (ticker_id)""",
+    "feature_rows": """
+        SELECT ticker_id, list_concat([t, 1.0], list_transform(knots, lambda k: greatest(t - k, 0.0)),
+            list_transform(range(1, 4), lambda k: line * sin(2 * pi() * day * k / 7.0)),
+            list_transform(range(1, 4), lambda k: line * cos(2 * pi() * day * k / 7.0)),
+            list_transform(range(1, 11), lambda k: line * sin(2 * pi() * day * k / 365.25)),
+            list_transform(range(1, 11), lambda k: line * cos(2 * pi() * day * k / 365.25))) AS f
+        FROM (SELECT ticker_id, knots, ds - DATE '1970-01-01' AS day, (ds - t0) / CAST(t1 - t0 AS DOUBLE) AS t,
+                     (intercept + slope * (ds - t0)) / y_scale AS line
+              FROM series JOIN line_start USING (ticker_id))""",
+    "wave_terms": """
+        SELECT ticker_id, ds, t, y_scale, knots,
+               (intercept + slope * (ds - t0) + y_scale * list_sum(list_transform(range(1, 26),
+                   lambda j: (j - 13) / 100 * greatest(t - knots[j], 0.0)))) AS trend,
+               list_sum(list_transform(range(1, 4), lambda k: sin(day * (2 * pi() * k / 7.0)) / (100.0 + k)
+                   + cos(day * (2 * pi() * k / 7.0)) / (103.0 + k))) AS weekly,
+               list_sum(list_transform(range(1, 11), lambda k: sin(day * (2 * pi() * k / 365.25)) / (106.0 + k)
+                   + cos(day * (2 * pi() * k / 365.25)) / (116.0 + k))) AS yearly
+        FROM (SELECT *, ds - DATE '1970-01-01' AS day, (ds - t0) / CAST(t1 - t0 AS DOUBLE) AS t
+              FROM axis JOIN line_start USING (ticker_id))""",
     "request_days": """
         SELECT o_orderkey AS request_id, o_orderpriority AS priority, c_nationkey,
                CASE WHEN day(o_orderdate) = 9 THEN 99 ELSE c_nationkey + 1 END AS ticker_id,
@@ -326,15 +357,22 @@ ORACLES: dict[str, str] = {
     "predict_range": _query(_ANSWER.format(rows=f"SELECT * FROM hits UNION ALL {_FALLBACK}")),
     "predict_range_filled": _query(_ANSWER.format(rows=f"SELECT * FROM hits UNION ALL {_FILLED}")),
     "start_decomposable": _query("""
-        SELECT ticker_id, n, t0, t1, y_scale, round(slope * (t1 - t0) / top, 6) AS slope,
-               round(intercept / top, 6) AS "offset", CAST(j - 1 AS INTEGER) AS place,
-               round((knot_day - t0) / CAST(t1 - t0 AS DOUBLE), 9) AS knot
-        FROM (SELECT *, row_number() OVER (PARTITION BY ticker_id ORDER BY j) AS k
-              FROM (SELECT ticker_id, n, t0, t1, intercept, slope, unnest(range(1, 26)) AS j FROM line_fit))
-        JOIN (SELECT ticker_id, max(abs(y)) AS top, round(max(abs(y)), 6) AS y_scale FROM series GROUP BY ticker_id)
-          USING (ticker_id)
-        JOIN (SELECT ticker_id, ds AS knot_day,
-                     row_number() OVER (PARTITION BY ticker_id ORDER BY ds) - 1 AS place_in_days FROM series) d
-          USING (ticker_id)
-        WHERE place_in_days = round_even(j * (floor(n * 0.8) - 1) / least(25, floor(n * 0.8) - 1), 0)"""),
+        SELECT ticker_id, n, t0, t1, round(y_scale, 6) AS y_scale, round(slope * (t1 - t0) / y_scale, 6) AS slope,
+               round(intercept / y_scale, 6) AS "offset", CAST(j - 1 AS INTEGER) AS place, round(knots[j], 9) AS knot
+        FROM (SELECT line_start.*, n, unnest(range(1, 26)) AS j
+              FROM line_start JOIN (SELECT ticker_id, n FROM line_fit) USING (ticker_id))"""),
+    "gram_decomposable": _query("""
+        SELECT ticker_id, CAST((i - 1) * 53 + j - 1 AS INTEGER) AS place, round(sum(f[i] * f[j]), 4) AS value
+        FROM feature_rows, (SELECT unnest(range(1, 54)) AS i), (SELECT unnest(range(1, 54)) AS j)
+        GROUP BY ticker_id, i, j"""),
+    "score_decomposable": _query(f"""
+        SELECT ticker_id, ds, round(trend, 2) AS trend, round(trend * (1 + weekly + yearly), 2) AS yhat,
+               round(trend * (1 + weekly + yearly) - half, 2) AS yhat_lower,
+               round(trend * (1 + weekly + yearly) + half, 2) AS yhat_upper,
+               round(trend - {_LEVEL} * drift, 2) AS trend_lower, round(trend + {_LEVEL} * drift, 2) AS trend_upper,
+               round(weekly, 8) AS weekly, round(yearly, 8) AS yearly,
+               round(weekly + yearly, 8) AS multiplicative_terms
+        FROM (SELECT *, {_LEVEL} * sqrt((y_scale / 100) ** 2 + ((1 + weekly + yearly) * drift) ** 2) AS half
+              FROM (SELECT *, y_scale * sqrt(2 * size ** 2 * 25 * greatest(t - 1, 0.0) ** 3 / 3) AS drift
+                    FROM wave_terms, (SELECT avg(abs(j - 13) / 100) AS size FROM (SELECT unnest(range(1, 26)) AS j))))"""),
 }
