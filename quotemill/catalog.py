@@ -14,9 +14,9 @@ from quotemill import testtables
 from quotemill.operators import clean, decomposable, lookup, metrics, series as series_ops, trend_weekly
 from quotemill.operators.returns import daily_return
 from quotemill.plans import cleaning, training
-from quotemill.schemas import TICKER_ID
+from quotemill.schemas import FORECAST, TICKER_ID
 from quotemill.session import scratch_path, settle
-from quotemill.sources import tables
+from quotemill.sources import runs, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -367,6 +367,40 @@ def train_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.metrics.withColumn("run_ts", F.lit(run.run_ts))
 
 
+# ------------------------------------------- sinks, read back from the shared folder
+
+
+def land_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.land_raw(spark, sf_dir, scratch_path(spark, "raw"), files="{customer,supplier}.parquet")
+
+
+def write_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole clean job: raw table to dictionary and cleaned table."""
+    paths = [scratch_path(spark, name) for name in ("raw", "cleaned", "tickers")]
+    _raw(spark, sf_dir).write.parquet(paths[0])
+    return _rounded(cleaning.run_clean(spark, *paths), 6, "Daily_Return")
+
+
+def forecast_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "forecast-csv")
+    runs.write_forecast_csv(_weekly_forecast(spark, sf_dir)[2].select(*FORECAST.fieldNames()), path)
+    return runs.read_forecast_csv(spark, path)
+
+
+def metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "metrics-json")
+    runs.write_metrics_json(fit_metrics(spark, sf_dir), path)
+    return runs.read_metrics_json(spark, path)
+
+
+def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole train job with the trend and weekday model, and the stored forecast."""
+    root = scratch_path(spark, "runs")
+    training.train_all(_encoded_bars(spark, sf_dir), root, RUN_TS, training.TREND_WEEKLY)
+    run = runs.load_run(spark, root)
+    return _rounded(run.forecast.withColumn("run_ts", F.lit(run.run_ts)), 3, *PREDICTED)
+
+
 QUERIES: dict[str, Query] = {
     "scan_raw": scan_raw,
     "scan_cleaned": scan_cleaned,
@@ -412,4 +446,9 @@ QUERIES: dict[str, Query] = {
     "forecast_interval": forecast_interval,
     "components": components,
     "train_all": train_all,
+    "land_raw": land_raw,
+    "write_cleaned": write_cleaned,
+    "forecast_csv_roundtrip": forecast_csv_roundtrip,
+    "metrics_json": metrics_json,
+    "latest_run": latest_run,
 }

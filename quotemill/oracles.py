@@ -376,3 +376,12 @@ ORACLES: dict[str, str] = {
               FROM (SELECT *, y_scale * sqrt(2 * size ** 2 * 25 * greatest(t - 1, 0.0) ** 3 / 3) AS drift
                     FROM wave_terms, (SELECT avg(abs(j - 13) / 100) AS size FROM (SELECT unnest(range(1, 26)) AS j))))"""),
 }
+
+ORACLES["land_raw"] = """
+    SELECT *, 'customer.parquet' AS original_filename, 'upload_script' AS uploaded_by FROM customer
+    UNION ALL BY NAME
+    SELECT *, 'supplier.parquet' AS original_filename, 'upload_script' AS uploaded_by FROM supplier"""
+ORACLES["write_cleaned"] = ORACLES["clean_prices"]
+ORACLES["forecast_csv_roundtrip"] = ORACLES["forecast"]
+ORACLES["metrics_json"] = ORACLES["metrics"]
+ORACLES["latest_run"] = _query("SELECT '20240101_000000' AS run_ts, * FROM predicted")

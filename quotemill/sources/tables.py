@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from quotemill.schemas import DATE, PROVENANCE_COLUMNS, TICKER_ID
 
 
-def read_parquet_files(spark: SparkSession, path: str, files: str = "*.parquet") -> DataFrame:
+def read_parquet_files(
+    spark: SparkSession, path: str, files: str = "*.parquet", merge: bool = True
+) -> DataFrame:
     """All Parquet files under ``path``, stacked over the union of their columns.
 
     Finding no file is an error.
     """
     try:
-        return spark.read.option("mergeSchema", True).option("pathGlobFilter", files).parquet(path)
+        return spark.read.option("mergeSchema", merge).option("pathGlobFilter", files).parquet(path)
     except AnalysisException as problem:
         raise FileNotFoundError(f"no files {files} found in {path}") from problem
 
@@ -22,11 +24,11 @@ def read_parquet_files(spark: SparkSession, path: str, files: str = "*.parquet")
 def read_raw(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Raw price rows, without the provenance that landing adds.
 
-    With a ``schema`` no file is opened while planning; otherwise the files' schemas are merged.
+    With a declared ``schema`` one file is opened while planning, to see that there is any;
+    otherwise the files' schemas are merged.
     """
-    if schema is None:
-        rows = read_parquet_files(spark, path)
-    else:
+    rows = read_parquet_files(spark, path, merge=schema is None)
+    if schema is not None:
         rows = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
     return rows.drop(*PROVENANCE_COLUMNS)
 
@@ -47,14 +49,19 @@ def write_cleaned(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def land_raw(spark: SparkSession, source: str, target: str, uploaded_by: str = "upload_script") -> DataFrame:
+def land_raw(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    uploaded_by: str = "upload_script",
+    files: str = "*.parquet",
+) -> DataFrame:
     """Land the files under ``source``, each under its own name with its provenance.
 
     A file landed before under the same name is replaced, the others stay. Returns the rows
     now landed under the names of this call. No file to land is an error.
     """
-    files = read_parquet_files(spark, source)
-    landed = files.select(
+    landed = read_parquet_files(spark, source, files).select(
         "*",
         F.lit(uploaded_by).alias("uploaded_by"),
         F.col("_metadata.file_name").alias("original_filename"),

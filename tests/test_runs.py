@@ -58,6 +58,8 @@ def test_no_files_is_an_error(spark, tmp_path):
     for path in ("empty", "missing"):
         with pytest.raises(FileNotFoundError):
             tables.read_cleaned(spark, str(tmp_path / path))
+        with pytest.raises(FileNotFoundError):
+            tables.read_raw(spark, str(tmp_path / path), FORECAST)
         with pytest.raises(FileNotFoundError):
             tables.land_raw(spark, str(tmp_path / path), str(tmp_path / "raw"))
 
