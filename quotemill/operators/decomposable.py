@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quotemill.functions.gram import WEEK, YEAR, ModelSpec, block_partials, solve_ticker
 from quotemill.operators.trend_weekly import z_score
-from quotemill.schemas import TICKER_ID
+from quotemill.schemas import TICKER_ID, table_schema
 from quotemill.session import settle
 
 DEFAULT_SPEC = ModelSpec()
@@ -26,23 +26,19 @@ DEFAULT_SPEC = ModelSpec()
 _doubles = T.ArrayType(T.DoubleType())
 
 
-def _fields(**columns: T.DataType) -> list[T.StructField]:
-    return [T.StructField(name, dtype) for name, dtype in columns.items()]
-
-
 # theta: slope, offset, one rate change per changepoint, then weekly and yearly terms
-STATE = T.StructType(
-    _fields(
-        ticker_id=T.IntegerType(),
-        n=T.LongType(),
-        t0=T.DateType(),
-        t1=T.DateType(),
-        y_scale=T.DoubleType(),
-        knots=_doubles,
-        theta=_doubles,
-    )
+STATE = table_schema(
+    ticker_id=T.IntegerType(),
+    n=T.LongType(),
+    t0=T.DateType(),
+    t1=T.DateType(),
+    y_scale=T.DoubleType(),
+    knots=_doubles,
+    theta=_doubles,
+)
+PARTIAL = T.StructType(
+    STATE.fields + table_schema(gram=_doubles, moment=_doubles, sse=T.DoubleType()).fields
 )
-PARTIAL = T.StructType(STATE.fields + _fields(gram=_doubles, moment=_doubles, sse=T.DoubleType()))
 
 
 # ---------------------------------------------------------------- preparation

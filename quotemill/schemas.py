@@ -16,16 +16,14 @@ NUMERIC_COLUMNS = ["Open", "High", "Low", "Close", "Dividends", "Volume", "Stock
 PROVENANCE_COLUMNS = ["original_filename", "uploaded_by"]
 
 
-def _schema(**columns: T.DataType) -> T.StructType:
+def table_schema(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, dtype) for name, dtype in columns.items()])
 
 
-_doubles = T.ArrayType(T.DoubleType())
+TICKER_DICTIONARY = table_schema(Ticker=T.StringType(), ticker_id=T.IntegerType())
+TRAINING_SERIES = table_schema(ticker_id=T.IntegerType(), ds=T.DateType(), y=T.DoubleType())
 
-TICKER_DICTIONARY = _schema(Ticker=T.StringType(), ticker_id=T.IntegerType())
-TRAINING_SERIES = _schema(ticker_id=T.IntegerType(), ds=T.DateType(), y=T.DoubleType())
-
-FORECAST = _schema(
+FORECAST = table_schema(
     ticker_id=T.IntegerType(),
     ds=T.DateType(),
     trend=T.DoubleType(),
@@ -34,7 +32,7 @@ FORECAST = _schema(
     yhat_upper=T.DoubleType(),
 )
 
-METRICS = _schema(
+METRICS = table_schema(
     ticker_id=T.IntegerType(),
     n=T.LongType(),
     n_zero_y=T.LongType(),
@@ -45,7 +43,7 @@ METRICS = _schema(
     mape=T.DoubleType(),
 )
 
-POINT_REQUESTS = _schema(request_id=T.LongType(), ticker_id=T.IntegerType(), date=T.StringType())
-RANGE_REQUESTS = _schema(
+POINT_REQUESTS = table_schema(request_id=T.LongType(), ticker_id=T.IntegerType(), date=T.StringType())
+RANGE_REQUESTS = table_schema(
     request_id=T.LongType(), ticker_id=T.IntegerType(), start_date=T.StringType(), end_date=T.StringType()
 )

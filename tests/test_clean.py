@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +45,28 @@ def test_scrub_text(spark, text, number, compat):
     assert scrubbed(spark, [text], "string", compat=True) == [1999.0 if text == "1e999" else compat]
 
 
+def test_scrub_random_text(spark):
+    """Any mix of characters: never an error, and the original's digits where it is no number."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("0123456789..--+$, eEUSDx", k=rng.randrange(12))) for _ in range(2000)]
+
+    def original(text):
+        try:
+            return float(re.sub("[^0-9.]", "", text))
+        except ValueError:
+            return None
+
+    assert scrubbed(spark, texts, "string", compat=True) == [original(t) for t in texts]
+    for text, found in zip(texts, scrubbed(spark, texts, "string")):
+        bare = re.sub(r"[$,\s]", "", text)
+        try:
+            number = float(bare)
+            assert found == (number if math.isfinite(number) else None)
+        except ValueError:
+            expected = original(text)
+            assert found == expected or (expected is not None and found == -expected and "-" in text)
+
+
 def test_scrub_numeric_input(spark):
     assert scrubbed(spark, [12345678.0, -1.5, float("nan"), float("inf")], "double") == [12345678.0, -1.5, None, None]
     assert scrubbed(spark, [12345678.0, -1.5], "double", compat=True) == [1.23456787, 1.5]
@@ -127,6 +152,19 @@ def test_clean_prices_end_to_end(spark):
     assert {r.Daily_Return for r in kept.where("ticker_id = 2").collect()} == {None, 10.0}
 
 
+def test_clean_prices_at_any_partition_count(spark):
+    rng = random.Random(6)
+    rows = [
+        (rng.choice(["A", "A", "B", None]), f"2024-01-{rng.randrange(1, 29):02d}", str(rng.randrange(1, 9)), rng.randrange(9))
+        for _ in range(400)
+    ]
+    results = []
+    for partitions in (1, 7):
+        out = cleaning.clean_prices(spark.createDataFrame(rows, RAW_SCHEMA).repartition(partitions))
+        results.append(sorted(map(str, out.collect())))
+    assert results[0] == results[1]
+
+
 def test_clean_report_counts_every_step(spark):
     report = cleaning.clean_report(spark.createDataFrame(RAW, RAW_SCHEMA)).first().asDict()
     assert report == {

@@ -27,7 +27,8 @@ def known(spark):
 
 def score(days):
     """Stands for a model: recognisable values."""
-    return days.withColumns({"trend": F.lit(0.0), "yhat": F.lit(-1.0), "yhat_lower": F.lit(-2.0), "yhat_upper": F.lit(0.0)})
+    values = {"trend": 0.0, "yhat": -1.0, "yhat_lower": -2.0, "yhat_upper": 0.0}
+    return days.withColumns({name: F.lit(value) for name, value in values.items()})
 
 
 def points(spark, forecast, known, rows):
@@ -45,7 +46,9 @@ def ranges(spark, forecast, known, rows, **options):
 
 
 def test_point_hit_and_miss(spark, forecast, known):
-    found = points(spark, forecast, known, [(1, 1, "2024-01-20"), (2, 1, "2024-02-01"), (3, 2, "2024-02-01"), (4, 9, "2024-01-20"), (5, 1, "2024-13-40"), (6, None, "2024-01-20")])
+    asked = [(1, 1, "2024-01-20"), (2, 1, "2024-02-01"), (3, 2, "2024-02-01")]
+    refused = [(4, 9, "2024-01-20"), (5, 1, "2024-13-40"), (6, None, "2024-01-20")]
+    found = points(spark, forecast, known, asked + refused)
     assert found == {
         1: (1, "2024-01-20", 120.0, 90.0, 110.0, 1.0),
         2: (1, "2024-02-01", -1.0, -2.0, 0.0, 0.0),
@@ -81,10 +84,13 @@ def test_fill_gaps_evaluates_the_missing_days(spark, forecast, known):
 
 
 def test_uncovered_ranges_are_evaluated_day_by_day(spark, forecast, known):
-    found = ranges(
-        spark, forecast, known,
-        [(1, 1, "2030-12-31", "2031-01-02"), (2, 1, "1990-01-01", "1990-01-01"), (3, 1, "2024-02-02", "2024-02-03"), (4, 2, "2024-02-02", "2024-02-02")],
-    )
+    asked = [
+        (1, 1, "2030-12-31", "2031-01-02"),
+        (2, 1, "1990-01-01", "1990-01-01"),
+        (3, 1, "2024-02-02", "2024-02-03"),
+        (4, 2, "2024-02-02", "2024-02-02"),
+    ]
+    found = ranges(spark, forecast, known, asked)
     assert found == {
         1: [("2030-12-31", -1.0), ("2031-01-01", -1.0), ("2031-01-02", -1.0)],
         2: [("1990-01-01", -1.0)],
