@@ -45,6 +45,8 @@ class ModelSpec:
 
 
 _EPOCH = date(1970, 1, 1)
+_PERFECT = 1e-14  # mean squared error, with the largest value at 1
+_LEAST_VARIANCE = 1e-8
 _STATE = ["ticker_id", "n", "t0", "t1", "y_scale", "knots", "theta"]
 _PARTIAL = [*_STATE, "gram", "moment", "sse"]
 
@@ -112,15 +114,17 @@ def solve_ticker(spec: ModelSpec) -> Callable[[pd.DataFrame], pd.DataFrame]:
         target_square = sse + 2 * old @ moment + old @ gram @ old
 
         theta = old
-        variance = max(sse / n, 1e-10)
+        # a perfect fit is left alone; a near-perfect one keeps the matrix well conditioned
+        rounds = 0 if sse / n < _PERFECT else 50
+        variance = max(sse / n, _LEAST_VARIANCE)
         penalty = np.full(k, 1 / spec.seasonality_prior**2)
         penalty[:2] = 1 / spec.trend_prior**2
         rates = slice(2, spec.trend_terms)
-        for _ in range(50):
+        for _ in range(rounds):
             penalty[rates] = 1 / (spec.changepoint_prior * np.maximum(np.abs(theta[rates]), 1e-4))
             new = np.linalg.solve(gram + variance * np.diag(penalty), target)
             fitted = (target_square - 2 * new @ target + new @ gram @ new) / n
-            variance = max(fitted, 1e-10)
+            variance = max(fitted, _LEAST_VARIANCE)
             done = np.max(np.abs(new - theta)) < 1e-9
             theta = new
             if done:

@@ -210,3 +210,26 @@ def test_workers_need_no_installed_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 1" in done.stdout, done.stderr[-2000:]
+
+
+def test_degenerate_series_get_finite_predictions(spark):
+    """Constant, zero, negative and two-day histories, gaps, and days far from 1970."""
+    rows = []
+    for day in range(40):
+        rows += [(1, START + dt.timedelta(day), 5.0), (2, START + dt.timedelta(day), 0.0)]
+        rows += [(3, START + dt.timedelta(day), -7.0 - day), (4, dt.date(1901, 1, 1) + dt.timedelta(day * 97), 3.0 + day % 5)]
+        rows += [(5, dt.date(2400, 1, 1) + dt.timedelta(day), 1e9 + day)]
+    rows += [(6, START, 1e-6), (6, START + dt.timedelta(400), 2e-6)]
+    series = spark.createDataFrame(rows, SERIES)
+    axis = series_ops.forecast_axis(series, 30)
+    for scored in (
+        decomposable.score_decomposable(axis, decomposable.fit_decomposable(series)),
+        trend_weekly.score_trend_weekly(axis, trend_weekly.fit_trend_weekly(series)),
+    ):
+        found = scored.toPandas()
+        assert len(found) == len(rows) + 6 * 30
+        values = found[["trend", "yhat", "yhat_lower", "yhat_upper"]].to_numpy(dtype=float)
+        assert np.isfinite(values).all()
+        assert (found["yhat_lower"] <= found["yhat"]).all() and (found["yhat"] <= found["yhat_upper"]).all()
+        flat = found[found["ticker_id"] == 1]
+        np.testing.assert_allclose(flat["yhat"], 5.0, atol=0.05)
