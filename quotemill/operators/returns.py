@@ -36,7 +36,11 @@ def daily_return(
         df = _previous_by_ticker(df, [DATE])
     else:
         cuts = settle(_cuts(df, rows_per_slice), "cuts")
-        df = _previous_by_ticker(df, _row_order(df)) if cuts.isEmpty() else _previous_by_slice(df, cuts)
+        parts = cuts.agg(F.max("_parts")).first()[0]
+        if parts is None:
+            df = _previous_by_ticker(df, _row_order(df))
+        else:
+            df = _previous_by_slice(df, cuts, split_days=parts > 1)
     return df.withColumn("Daily_Return", percent_change(F.col("Close"), F.col("_previous"))).drop("_previous")
 
 
@@ -82,9 +86,13 @@ def _cuts(df: DataFrame, rows_per_slice: int) -> DataFrame:
     )
 
 
-def _cut(df: DataFrame, cuts: DataFrame, how: str) -> DataFrame:
-    """Append the slice of every row. Slices of a ticker follow each other in key order."""
+def _cut(df: DataFrame, cuts: DataFrame, how: str, split_days: bool) -> DataFrame:
+    """Append the slice of every row. Slices of a ticker follow each other in key order.
+
+    The row hash, and with it every column, is read only if some month has to be split.
+    """
     columns = [f"`{name}`" for name in df.columns]
+    whole_month, no_part = F.lit("0001-01-01").cast("date"), F.lit(0).cast("bigint")
     split = F.col("_parts") > 1
     return (
         _with_month(df)
@@ -92,27 +100,29 @@ def _cut(df: DataFrame, cuts: DataFrame, how: str) -> DataFrame:
         .withColumns(
             {
                 "_slice": F.coalesce("_slice", F.lit(0)),
-                "_slice_day": F.when(split, F.col(DATE)).otherwise(F.lit("0001-01-01").cast("date")),
-                "_part": F.when(split, F.pmod(F.xxhash64(*columns), "_parts")).otherwise(F.lit(0)),
+                "_slice_day": F.when(split, F.col(DATE)).otherwise(whole_month) if split_days else whole_month,
+                "_part": F.when(split, F.pmod(F.xxhash64(*columns), "_parts")).otherwise(no_part)
+                if split_days
+                else no_part,
             }
         )
         .select(*columns, *SLICE)
     )
 
 
-def _previous_by_slice(df: DataFrame, cuts: DataFrame) -> DataFrame:
+def _previous_by_slice(df: DataFrame, cuts: DataFrame, split_days: bool) -> DataFrame:
     """Previous close with no task holding a whole large ticker.
 
     A window finds it within a slice. The first row of a slice takes the last close of the
     slice before, from a table with one row per slice of the large tickers.
     """
-    ends = _cut(df, cuts, "inner").groupBy(*SLICE).agg(F.max(F.struct(DATE, "Close")).alias("_end"))
+    ends = _cut(df, cuts, "inner", split_days).groupBy(*SLICE).agg(F.max(F.struct(DATE, "Close")).alias("_end"))
     slices = Window.partitionBy("_series").orderBy("_slice", "_slice_day", "_part")
     carried = ends.select(*SLICE, F.lag("_end.Close").over(slices).alias("_carried"))
 
     rows = Window.partitionBy(*SLICE).orderBy(*_row_order(df))
     return (
-        _cut(df, cuts, "left")
+        _cut(df, cuts, "left", split_days)
         .withColumns({"_at": F.row_number().over(rows), "_lagged": F.lag("Close").over(rows)})
         .join(carried, SLICE, "left")
         .withColumn("_previous", F.when(F.col("_at") == 1, F.col("_carried")).otherwise(F.col("_lagged")))

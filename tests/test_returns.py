@@ -103,12 +103,12 @@ def test_busy_day_is_split_and_stays_one_chain(spark):
         assert not previous - closes
     again = previous_by_slice(frame(spark, rows, 13), 50).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, found))
-    sizes = returns._cut(frame(spark, rows), returns._cuts(frame(spark, rows), 50), "left").groupBy(*returns.SLICE).count()
+    sizes = returns._cut(frame(spark, rows), returns._cuts(frame(spark, rows), 50), "left", True).groupBy(*returns.SLICE).count()
     assert max(r["count"] for r in sizes.collect()) < 2 * 50
 
 
 def previous_by_slice(df, rows_per_slice):
-    return returns._previous_by_slice(df, returns._cuts(df, rows_per_slice))
+    return returns._previous_by_slice(df, returns._cuts(df, rows_per_slice), split_days=True)
 
 
 def test_without_close_nothing_is_added(spark):
@@ -120,7 +120,15 @@ def test_large_tickers_are_cut_and_small_ones_are_not(spark):
     rows = skewed_rows(5, days_unique=True)
     cuts = returns._cuts(frame(spark, rows), 100)
     assert {r._series for r in cuts.collect()} == {-1, 1}
-    sizes = returns._cut(frame(spark, rows), cuts, "left").groupBy(*returns.SLICE).count().collect()
+    sizes = returns._cut(frame(spark, rows), cuts, "left", True).groupBy(*returns.SLICE).count().collect()
     assert max(r["count"] for r in sizes) < 2 * 100
     assert sum(r["count"] for r in sizes) == len(rows)
     assert returns._cuts(frame(spark, rows), 10_000).isEmpty()
+
+
+def test_slice_ends_read_three_columns_unless_a_day_is_split(spark, tmp_path):
+    frame(spark, skewed_rows(6, days_unique=True)).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    ends = returns._cut(df, returns._cuts(df, 60), "inner", False).groupBy(*returns.SLICE).agg({"Close": "max"})
+    plan = ends._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<Date:date,Close:double,ticker_id:int>" in plan
