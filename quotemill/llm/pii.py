@@ -214,7 +214,7 @@ KINDS = (
         lambda text, permute: permute.symbols(text, "email"),
     ),
     Kind("iban", re.compile(r"(?<!\w)([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"), iban_ok, iban),
-    Kind("card", re.compile(r"(?<![\w.-])(\d(?:[ -]?\d){12,18})(?![\w-]|\.\d)"), card_ok, card),
+    Kind("card", re.compile(r"(?<![\w.-])(\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}|\d{4}([ -])\d{6}\3\d{5})(?![\w-]|\.\d)"), card_ok, card),
     Kind("ssn", re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])"), ssn_ok, ssn),
     Kind(
         "phone",
