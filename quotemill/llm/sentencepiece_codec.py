@@ -147,7 +147,7 @@ class Codec:
         opens = np.array([p.startswith(MARK) for p in self.model.pieces])
         whole = not (separable(self.model) and self.model.dummy_prefix and self.model.extra_spaces)
         odd = lambda text: whole or MARK in text
-        self.units = UnitEncoder(self.encode, opens, dummy=True, odd=odd, check=self.differing)
+        self.units = UnitEncoder(self.encode, {" ": opens}, dummy=True, odd=odd, check=self.differing)
 
     def encode(self, text: str) -> list[int]:
         if self.threads < 2 or not separable(self.model) or "  " in text or MARK in text or len(text) < 1 << 14:

@@ -139,14 +139,14 @@ def encode_blocks(docs: DataFrame, spec: str, parts: int) -> DataFrame:
     schema = arrow_schema(BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = once_per_worker(("byte_bpe", key), lambda: byte_bpe(vocabulary.value))
+        encoder = once_per_worker(("byte_bpe_marks", key), lambda: byte_bpe(vocabulary.value, marks=True))
         part, block, start, size = TaskContext.get().partitionId(), 0, 0, 0
         ids, counts, pieces = [], [], []
         end = np.array([END], np.uint32).tobytes()
 
         def flush():
             raw = np.frombuffer(b"".join(pieces), np.uint32)
-            raw = raw.astype(np.uint16) if len(encoder.opens) <= 1 << 16 else raw
+            raw = raw.astype(np.uint16) if len(encoder.opens[" "]) <= 1 << 16 else raw
             row = [[part], [block], [start], [ids], [counts], [raw.tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 

@@ -107,9 +107,12 @@ def test_case_and_decoration_keep_the_link():
     assert pii.rewrite("call +1 (017) 555-7713 141.73.119.60", permute)[1][1][2].name == "ip"
 
 
-def test_units_give_the_ids_of_the_whole(texts, bpe):
+@pytest.mark.parametrize("marks", [False, True])
+def test_units_give_the_ids_of_the_whole(texts, bpe, marks):
     with open(BPE, encoding="utf-8") as file:
-        encoder = units.byte_bpe(file.read())
+        encoder = units.byte_bpe(file.read(), marks)
+    rng = random.Random(6)
+    texts = texts + ["".join(rng.choices(["a", "b1", " ", " ", "\n", ", ", ". ", ",", ".", "'s", "_", ")", "\t", "é", "\xa0"], k=12)) for _ in range(3000)]
     found, _ = encoder.batch(texts)
     assert [np.frombuffer(f, np.uint32).tolist() for f in found] == [bpe(t) for t in texts]
 
