@@ -7,40 +7,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quotemill.schemas import DATE, TICKER_ID
 from quotemill.session import settle
 
-# A ticker with more rows than this is cut into slices of about this many.
-ROWS_PER_SLICE = 2_000_000
-
-SLICE = ["_series", "_slice", "_slice_day", "_part"]
-
-
 def percent_change(value: Column, previous: Column) -> Column:
     """Null without a previous value, and for a previous value of 0."""
     return F.try_divide(value - previous, previous) * 100
 
 
-def daily_return(
-    df: DataFrame, one_row_per_day: bool = False, rows_per_slice: int = ROWS_PER_SLICE
-) -> DataFrame:
+def daily_return(df: DataFrame, one_row_per_day: bool = False, partitions: int | None = None) -> DataFrame:
     """Append ``Daily_Return``, in percent, null on a ticker's first row.
 
-    Rows follow each other by ``Date``; rows of one day by ``Close``, then by the other columns.
+    Rows follow each other by ``Date``; rows of one day by ``Close``, then by the other columns. Rows
+    without a ticker form one series. One plan serves every size: the rows are laid out by range over
+    this complete order and written once, so that a ticker, a month or a day with very many rows is spread
+    over several ranges like any other run of rows. A window finds the previous close within a range; the first row
+    of a ticker in a range takes its last close of the nearest earlier range that holds the ticker.
 
-    One window per ticker finds the previous close, unless a ticker has more than
-    ``rows_per_slice`` rows. They are counted first, from two columns; ``df`` should be a table.
-    ``one_row_per_day`` states that ``(ticker_id, Date)`` is unique: a ticker is then no longer
-    than the calendar, and nothing is counted.
+    ``one_row_per_day`` states that ``(ticker_id, Date)`` is unique and every row has a ticker: a ticker is then no
+    longer than the calendar, and one window does.
     """
     if "Close" not in df.columns:
         return df
     if one_row_per_day:
-        df = _previous_by_ticker(df, [DATE])
+        df = df.withColumn("_previous", F.lag("Close").over(Window.partitionBy(TICKER_ID).orderBy(*_row_order(df))))
     else:
-        cuts = settle(_cuts(df, rows_per_slice), "cuts")
-        parts = cuts.agg(F.max("_parts")).first()[0]
-        if parts is None:
-            df = _previous_by_ticker(df, _row_order(df))
-        else:
-            df = _previous_by_slice(df, cuts, split_days=parts > 1)
+        df = _previous_by_range(df, partitions)
     return df.withColumn("Daily_Return", percent_change(F.col("Close"), F.col("_previous"))).drop("_previous")
 
 
@@ -49,82 +38,25 @@ def _row_order(df: DataFrame) -> list[str]:
     return [DATE, "Close", *rest]
 
 
-def _previous_by_ticker(df: DataFrame, order: list[str]) -> DataFrame:
-    return df.withColumn("_previous", F.lag("Close").over(Window.partitionBy(TICKER_ID).orderBy(*order)))
-
-
-def _with_month(df: DataFrame) -> DataFrame:
-    """Rows without a ticker form one series, under a key that joins like any other."""
-    return df.withColumns(
-        {"_series": F.coalesce(F.col(TICKER_ID), F.lit(-1)), "_month": F.trunc(F.col(DATE), "month")}
-    )
+def placed_by_range(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` written in ranges of the complete row order, with the number of the range in ``_range``."""
+    number = [partitions] if partitions else []
+    series = F.coalesce(F.col(TICKER_ID), F.lit(-1))
+    ranged = df.withColumn("_series", series).repartitionByRange(*number, "_series", *_row_order(df))
+    return settle(ranged.withColumn("_range", F.spark_partition_id()), "returns")
 
 
-def _cuts(df: DataFrame, rows_per_slice: int) -> DataFrame:
-    """The months of the tickers with too many rows, and where to cut them.
-
-    ``_slice`` numbers runs of months with about ``rows_per_slice`` rows; ``_parts`` says into
-    how many parts the days of a month are cut that has more rows than that by itself.
-    """
-    sizes = _with_month(df).groupBy("_series", "_month").agg(F.count("*").alias("_rows"))
-    series = Window.partitionBy("_series")
-    before = series.orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        sizes.withColumns(
-            {
-                "_all": F.sum("_rows").over(series),
-                "_before": F.coalesce(F.sum("_rows").over(before), F.lit(0)),
-            }
-        )
-        .where(F.col("_all") > rows_per_slice)
-        .select(
-            "_series",
-            "_month",
-            F.floor(F.col("_before") / rows_per_slice).alias("_slice"),
-            F.ceil(F.col("_rows") / rows_per_slice).alias("_parts"),
-        )
-    )
-
-
-def _cut(df: DataFrame, cuts: DataFrame, how: str, split_days: bool) -> DataFrame:
-    """Append the slice of every row. Slices of a ticker follow each other in key order.
-
-    The row hash, and with it every column, is read only if some month has to be split.
-    """
+def _previous_by_range(df: DataFrame, partitions: int | None) -> DataFrame:
     columns = [f"`{name}`" for name in df.columns]
-    whole_month, no_part = F.lit("0001-01-01").cast("date"), F.lit(0).cast("bigint")
-    split = F.col("_parts") > 1
-    return (
-        _with_month(df)
-        .join(cuts, ["_series", "_month"], how)
-        .withColumns(
-            {
-                "_slice": F.coalesce("_slice", F.lit(0)),
-                "_slice_day": F.when(split, F.col(DATE)).otherwise(whole_month) if split_days else whole_month,
-                "_part": F.when(split, F.pmod(F.xxhash64(*columns), "_parts")).otherwise(no_part)
-                if split_days
-                else no_part,
-            }
-        )
-        .select(*columns, *SLICE)
-    )
-
-
-def _previous_by_slice(df: DataFrame, cuts: DataFrame, split_days: bool) -> DataFrame:
-    """Previous close with no task holding a whole large ticker.
-
-    A window finds it within a slice. The first row of a slice takes the last close of the
-    slice before, from a table with one row per slice of the large tickers.
-    """
-    ends = _cut(df, cuts, "inner", split_days).groupBy(*SLICE).agg(F.max(F.struct(DATE, "Close")).alias("_end"))
-    slices = Window.partitionBy("_series").orderBy("_slice", "_slice_day", "_part")
-    carried = ends.select(*SLICE, F.lag("_end.Close").over(slices).alias("_carried"))
-
-    rows = Window.partitionBy(*SLICE).orderBy(*_row_order(df))
+    placed = placed_by_range(df, partitions)
+    # one row per range and ticker: its last close, and the last close of the ticker's range before
+    ends = placed.groupBy("_series", "_range").agg(F.max(F.struct(DATE, "Close")).alias("_end"))
+    before = Window.partitionBy("_series").orderBy("_range")
+    carried = ends.select("_series", "_range", F.lag("_end.Close").over(before).alias("_carried"))
+    rows = Window.partitionBy("_series", "_range").orderBy(*_row_order(df))
     return (
-        _cut(df, cuts, "left", split_days)
-        .withColumns({"_at": F.row_number().over(rows), "_lagged": F.lag("Close").over(rows)})
-        .join(carried, SLICE, "left")
+        placed.withColumns({"_at": F.row_number().over(rows), "_lagged": F.lag("Close").over(rows)})
+        .join(carried, ["_series", "_range"], "left")
         .withColumn("_previous", F.when(F.col("_at") == 1, F.col("_carried")).otherwise(F.col("_lagged")))
-        .select(*[f"`{name}`" for name in df.columns], "_previous")
+        .select(*columns, "_previous")
     )

@@ -71,14 +71,15 @@ def test_previous_close_zero_gives_null(spark):
     assert [r.Daily_Return for r in daily_return(frame(spark, rows)).collect()] == [None, None]
 
 
-@pytest.mark.parametrize("rows_per_slice", [1, 3, 40, returns.ROWS_PER_SLICE])
-def test_slices_do_not_change_the_result(spark, rows_per_slice):
-    rows = skewed_rows(1, days_unique=True)
-    assert collected(daily_return(frame(spark, rows), rows_per_slice=rows_per_slice)) == expected(rows)
+@pytest.mark.parametrize("partitions", [1, 2, 7, 40, None])
+@pytest.mark.parametrize("days_unique", [True, False])
+def test_any_number_of_ranges_gives_the_same(spark, partitions, days_unique):
+    rows = skewed_rows(1, days_unique)
+    assert collected(daily_return(frame(spark, rows), partitions=partitions)) == expected(rows)
 
 
 def test_one_window_per_ticker_agrees(spark):
-    rows = skewed_rows(2, days_unique=True)
+    rows = [r for r in skewed_rows(2, days_unique=True) if r[3] is not None]
     assert collected(daily_return(frame(spark, rows), one_row_per_day=True)) == expected(rows)
 
 
@@ -88,47 +89,16 @@ def test_many_rows_per_day(spark):
     assert collected(daily_return(frame(spark, rows, 11))) == expected(rows)
 
 
-def test_busy_day_is_split_and_stays_one_chain(spark):
-    """Cut into hash slices, every close is still followed by exactly one row of its ticker."""
+def test_a_day_with_half_of_all_rows_is_spread(spark):
     rng = random.Random(4)
     rows = [(START, round(rng.uniform(1, 9), 3), i, 1) for i in range(500)]
-    rows += [(START + dt.timedelta(i), float(i + 1), i, t) for t in (1, 2) for i in range(1, 40)]
-    found = previous_by_slice(frame(spark, rows), 50).collect()
-    assert len(found) == len(rows)
-    for ticker in (1, 2):
-        closes = Counter(r.Close for r in found if r.ticker_id == ticker)
-        previous = Counter(r._previous for r in found if r.ticker_id == ticker)
-        assert previous.pop(None) == 1
-        assert closes - previous == Counter([40.0])
-        assert not previous - closes
-    again = previous_by_slice(frame(spark, rows, 13), 50).collect()
-    assert Counter(map(tuple, again)) == Counter(map(tuple, found))
-    sizes = returns._cut(frame(spark, rows), returns._cuts(frame(spark, rows), 50), "left", True).groupBy(*returns.SLICE).count()
-    assert max(r["count"] for r in sizes.collect()) < 2 * 50
-
-
-def previous_by_slice(df, rows_per_slice):
-    return returns._previous_by_slice(df, returns._cuts(df, rows_per_slice), split_days=True)
+    rows += [(START + dt.timedelta(rng.randrange(300)), round(rng.uniform(1, 9), 3), i, rng.choice([1, 2, None])) for i in range(500)]
+    for partitions in (3, 16):
+        assert collected(daily_return(frame(spark, rows), partitions=partitions)) == expected(rows)
+    sizes = returns.placed_by_range(frame(spark, rows), 16).groupBy("_range").count().collect()
+    assert len(sizes) > 10 and max(r["count"] for r in sizes) < 200
 
 
 def test_without_close_nothing_is_added(spark):
     df = spark.createDataFrame([(1,)], "ticker_id int")
     assert daily_return(df).columns == ["ticker_id"]
-
-
-def test_large_tickers_are_cut_and_small_ones_are_not(spark):
-    rows = skewed_rows(5, days_unique=True)
-    cuts = returns._cuts(frame(spark, rows), 100)
-    assert {r._series for r in cuts.collect()} == {-1, 1}
-    sizes = returns._cut(frame(spark, rows), cuts, "left", True).groupBy(*returns.SLICE).count().collect()
-    assert max(r["count"] for r in sizes) < 2 * 100
-    assert sum(r["count"] for r in sizes) == len(rows)
-    assert returns._cuts(frame(spark, rows), 10_000).isEmpty()
-
-
-def test_slice_ends_read_three_columns_unless_a_day_is_split(spark, tmp_path):
-    frame(spark, skewed_rows(6, days_unique=True)).write.parquet(str(tmp_path / "t"))
-    df = spark.read.parquet(str(tmp_path / "t"))
-    ends = returns._cut(df, returns._cuts(df, 60), "inner", False).groupBy(*returns.SLICE).agg({"Close": "max"})
-    plan = ends._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<Date:date,Close:double,ticker_id:int>" in plan
