@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F, types as T
 NOT_DIGIT_OR_POINT = "[^0-9.]"
 
 POSITIVE_NUMBER = r"^(\d+\.?\d*|\.\d+)$"
+NEGATIVE_NUMBER = r"^((\d+\.?\d*|\.\d+)-|\((\d+\.?\d*|\.\d+)\))$"
+RATIO = r"^(\d+\.?\d*|\.\d+):(\d+\.?\d*|\.\d+)$"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -23,21 +25,26 @@ def scrub_number_compat(text: Column) -> Column:
 
 
 def strip_number(text: Column) -> Column:
-    """Text without currency sign, thousands commas and blanks."""
-    return F.regexp_replace(text, r"[$,\s]", "")
+    """Text without currency signs, thousands commas and blanks, nor a currency code before or behind it."""
+    bare = F.regexp_replace(text, r"[$€£¥,\s]", "")
+    return F.regexp_replace(bare, "^([+-]?)[A-Z]{3}|[A-Z]{3}$", "$1")
 
 
 def number_in(stripped: Column) -> Column:
-    """Number in a stripped text, perhaps infinite.
+    """Number in a stripped text, perhaps infinite; null for what is none.
 
-    What is no number as it stands (``USD12.50``) falls back to its digits, with a minus in
-    front of them kept. A cast that fails costs far more than a pattern that does not match.
+    A minus may stand behind the number, accounting parentheses mean a negative one, and ``a:b`` is a ratio.
     """
-    digits = scrub_number_compat(stripped)
+    plain = stripped.try_cast("double")
+    inner = F.regexp_extract(stripped, r"^\(?([0-9.]+)[)-]$", 1)
+    ratio = F.try_divide(
+        F.split_part(stripped, F.lit(":"), F.lit(1)).try_cast("double"),
+        F.split_part(stripped, F.lit(":"), F.lit(2)).try_cast("double"),
+    )
     return (
-        F.when(stripped.rlike(NUMBER), stripped.try_cast("double"))
-        .when(stripped.rlike("^[^0-9.]*-[^0-9.]*[0-9.]"), -digits)
-        .otherwise(digits)
+        F.when(stripped.rlike(NUMBER), plain)
+        .when(stripped.rlike(NEGATIVE_NUMBER), -inner.try_cast("double"))
+        .when(stripped.rlike(RATIO), ratio)
     )
 
 

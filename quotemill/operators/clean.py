@@ -8,9 +8,6 @@ from quotemill.functions.scalars import finite, number_in, parse_date, scrub_num
 from quotemill.schemas import CRITICAL_COLUMNS, DATE, NUMERIC_COLUMNS, TICKER, TICKER_ID
 from quotemill.session import settle
 
-# A list of names up to this length is numbered by one task.
-ONE_TASK_NAMES = 1_000_000
-
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     """One of each group of identical rows. Copies are merged before the shuffle."""
@@ -21,17 +18,13 @@ def distinct_tickers(df: DataFrame) -> DataFrame:
     return df.select(TICKER).distinct()
 
 
-def ticker_dictionary(df: DataFrame, one_task_names: int = ONE_TASK_NAMES) -> DataFrame:
+def ticker_dictionary(df: DataFrame) -> DataFrame:
     """``(Ticker, ticker_id)``: ids from 1 in ticker order, a null ticker first.
 
-    The distinct names are written out first, which gives their number and size. A longer list
-    than ``one_task_names`` is sorted over the cluster and numbered from per-partition offsets.
+    The distinct names are sorted over the cluster and numbered from per-partition offsets.
     """
-    names = settle(distinct_tickers(df), "tickers")
+    names = distinct_tickers(df)
     in_order = F.col(TICKER).asc_nulls_first()
-    if names.count() <= one_task_names:
-        return names.withColumn(TICKER_ID, F.row_number().over(Window.orderBy(in_order)))
-
     # monotonically_increasing_id: partition number in the upper bits, position in the lower 33
     placed = settle(
         names.orderBy(in_order)

@@ -33,8 +33,13 @@ CTES = {
                CASE WHEN day(Date) = 13 THEN NULL WHEN day(Date) = 14 THEN 'N/A'
                     WHEN day(Date) = 15 THEN concat('-', {_money("Close")})
                     WHEN day(Date) = 16 THEN concat('1.5.', {_money("Close")})
+                    WHEN day(Date) = 17 THEN concat('(', {_money("Close")}, ')')
+                    WHEN day(Date) = 18 THEN concat({_money("Close")}, '-')
+                    WHEN day(Date) = 19 THEN concat({_money("Close")}, ' EUR')
+                    WHEN day(Date) = 21 THEN concat({_money("Close")}, ' (2024)')
                     ELSE concat('$', {_money("Close")}) END AS Close,
-               CAST(Volume AS BIGINT) AS Volume, '0' AS Dividends, '1:1' AS "Stock Splits", day(Date) AS dd
+               CAST(Volume AS BIGINT) AS Volume, '0' AS Dividends,
+               CASE WHEN day(Date) = 22 THEN '3:2' WHEN day(Date) = 23 THEN '10-15' ELSE '1:1' END AS "Stock Splits", day(Date) AS dd
         FROM bars""",
     "raw": """
         SELECT * EXCLUDE (dd) FROM dirty
@@ -176,11 +181,17 @@ def _compat(name: str) -> str:
 
 
 def _scrub(name: str) -> str:
-    plain = f"TRY_CAST(regexp_replace({name}, '[$,\\s]', '', 'g') AS DOUBLE)"
-    return (
-        f"CASE WHEN {plain} IS NOT NULL THEN {plain} "
-        f"WHEN regexp_matches({name}, '^[^0-9.]*-[^0-9.]*[0-9.]') THEN -{_compat(name)} ELSE {_compat(name)} END"
+    bare = f"regexp_replace(regexp_replace({name}, '[$€£¥,\\s]', '', 'g'), '^([+-]?)[A-Z][A-Z][A-Z]', '\\1')"
+    bare = f"regexp_replace({bare}, '[A-Z][A-Z][A-Z]$', '')"
+    digits = f"regexp_replace({bare}, '[()-]', '', 'g')"
+    halves = [f"TRY_CAST(split_part({bare}, ':', {k}) AS DOUBLE)" for k in (1, 2)]
+    one = "([0-9]+[.]?[0-9]*|[.][0-9]+)"
+    value = (
+        f"CASE WHEN regexp_matches({bare}, '^[+-]?{one}([eE][+-]?[0-9]+)?$') THEN TRY_CAST({bare} AS DOUBLE) "
+        f"WHEN regexp_matches({bare}, '^{one}-$') OR regexp_matches({bare}, '^[(]{one}[)]$') THEN -TRY_CAST({digits} AS DOUBLE) "
+        f"WHEN regexp_matches({bare}, '^{one}:{one}$') AND {halves[1]} <> 0 THEN {halves[0]} / {halves[1]} END"
     )
+    return f"CASE WHEN isfinite({value}) THEN {value} END"
 
 
 def _numbers(scrub) -> str:

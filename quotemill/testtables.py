@@ -72,11 +72,15 @@ def raw_prices(bars: DataFrame) -> DataFrame:
         .when(day == 14, "N/A")
         .when(day == 15, F.concat(F.lit("-"), close))
         .when(day == 16, F.concat(F.lit("1.5."), close))
+        .when(day == 17, F.concat(F.lit("("), close, F.lit(")")))
+        .when(day == 18, F.concat(close, F.lit("-")))
+        .when(day == 19, F.concat(close, F.lit(" EUR")))
+        .when(day == 21, F.concat(close, F.lit(" (2024)")))
         .otherwise(F.concat(F.lit("$"), close))
         .alias("Close"),
         F.col("Volume").cast("bigint").alias("Volume"),
         F.lit("0").alias("Dividends"),
-        F.lit("1:1").alias("Stock Splits"),
+        F.when(day == 22, "3:2").when(day == 23, "10-15").otherwise("1:1").alias("Stock Splits"),
         day.alias("day"),
     )
     copies = dirty.where(F.col("day").isin(5, 10, 15, 20, 25, 30))
