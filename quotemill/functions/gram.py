@@ -1,7 +1,7 @@
 """Matrix work of the decomposable model inside the Python workers.
 
-Two functions over pandas batches: blocks of days to partial Gram matrices, and a ticker's
-partials to its next coefficients.
+Two functions over pandas batches: blocks of days to partial Gram matrices, and a ticker's blocks,
+bounded by the calendar, to its coefficients.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ class ModelSpec:
     trend_prior: float = 5.0
     weekly_order: int = 3
     yearly_order: int = 10
-    passes: int = 4
+    tolerance: float = 1e-9
+    # a ticker that needs more is stored with ``converged`` false
+    most_passes: int = 2000
 
     @property
     def trend_terms(self) -> int:
@@ -96,43 +98,73 @@ def block_partials(spec: ModelSpec) -> Callable[[Iterator[pd.DataFrame]], Iterat
     return run
 
 
-def solve_ticker(spec: ModelSpec) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A ticker's partials to its next coefficients.
+def _objective(theta: np.ndarray, sse: float, n: int, spec: ModelSpec) -> float:
+    """Negative log posterior with the residual variance profiled out."""
+    rates, seasons = theta[2 : spec.trend_terms], theta[spec.trend_terms :]
+    priors = theta[:2] @ theta[:2] / (2 * spec.trend_prior**2) + seasons @ seasons / (2 * spec.seasonality_prior**2)
+    return n / 2 * np.log(max(sse / n, _LEAST_VARIANCE)) + priors + np.abs(rates).sum() / spec.changepoint_prior
 
-    Ridge for the normal priors; the double-exponential prior of the rate changes is met by a
-    ridge that is reweighted until it settles, on the summed matrix alone.
-    """
 
-    def run(parts: pd.DataFrame) -> pd.DataFrame:
-        first = parts.iloc[0]
-        k = spec.terms
-        gram = np.sum(np.stack(parts["gram"].to_list()), axis=0).reshape(k, k)
-        moment = np.sum(np.stack(parts["moment"].to_list()), axis=0)
-        sse, n = float(parts["sse"].sum()), float(first["n"])
-        old = np.asarray(first["theta"])
-        target = moment + gram @ old
-        target_square = sse + 2 * old @ moment + old @ gram @ old
-
-        theta = old
-        # a perfect fit is left alone; a near-perfect one keeps the matrix well conditioned
-        rounds = 0 if sse / n < _PERFECT else 50
-        variance = max(sse / n, _LEAST_VARIANCE)
-        penalty = np.full(k, 1 / spec.seasonality_prior**2)
-        penalty[:2] = 1 / spec.trend_prior**2
-        rates = slice(2, spec.trend_terms)
-        for _ in range(rounds):
-            penalty[rates] = 1 / (spec.changepoint_prior * np.maximum(np.abs(theta[rates]), 1e-4))
-            new = np.linalg.solve(gram + variance * np.diag(penalty), target)
-            fitted = (target_square - 2 * new @ target + new @ gram @ new) / n
-            variance = max(fitted, _LEAST_VARIANCE)
-            done = np.max(np.abs(new - theta)) < 1e-9
-            theta = new
-            if done:
+def descend(
+    trend: np.ndarray, waves: np.ndarray, y: np.ndarray, theta: np.ndarray, spec: ModelSpec
+) -> tuple[np.ndarray, int, bool, float, float]:
+    """Damped Gauss-Newton: coefficients, passes, whether it converged, the objective at the end and at the start.
+
+    A ridge meets the normal priors, a reweighted ridge the double-exponential one of the rate changes. A step counts
+    only if the objective falls; otherwise the damping grows and the step is tried again, shorter. It ends when
+    no step helps or helps by less than ``spec.tolerance``.
+    """
+    n, k = len(y), spec.trend_terms
+
+    def state(theta: np.ndarray):
+        level, season = trend @ theta[:k], waves @ theta[k:]
+        residual = y - level * (1 + season)
+        return level, season, residual, _objective(theta, float(residual @ residual), n, spec)
+
+    level, season, residual, value = state(theta)
+    start, damping, passes, small = value, 1e-3, 0, 0
+    penalty = np.full(spec.terms, 1 / spec.seasonality_prior**2)
+    penalty[:2] = 1 / spec.trend_prior**2
+    while residual @ residual / n >= _PERFECT and passes < spec.most_passes:
+        passes += 1
+        jacobian = np.column_stack([trend * (1 + season)[:, None], waves * level[:, None]])
+        variance = max(float(residual @ residual) / n, _LEAST_VARIANCE)
+        penalty[2:k] = 1 / (spec.changepoint_prior * np.maximum(np.abs(theta[2:k]), 1e-4))
+        matrix = jacobian.T @ jacobian + variance * np.diag(penalty)
+        down = jacobian.T @ residual - variance * penalty * theta
+        moved = False
+        while damping < 1e12:
+            new = theta + np.linalg.solve(matrix + damping * np.diag(np.diag(matrix) + 1e-12), down)
+            tried = state(new)
+            if np.isfinite(tried[3]) and tried[3] < value:
+                moved = True
                 break
-        state = {name: [first[name]] for name in _STATE}
-        state["theta"] = [theta]
-        return pd.DataFrame(state)
+            damping *= 10
+        if not moved:
+            return theta, passes, True, value, start
+        gain = value - tried[3]
+        theta, (level, season, residual, value) = new, tried
+        damping = max(damping / 10, 1e-12)
+        small = small + 1 if gain < spec.tolerance * (1 + abs(value)) else 0
+        if small == 3:
+            return theta, passes, True, value, start
+    return theta, passes, bool(residual @ residual / n < _PERFECT), value, start
+
+
+def fit_ticker(spec: ModelSpec) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """All year blocks of a ticker, with its starting state, to its fitted state."""
+
+    def run(blocks: pd.DataFrame) -> pd.DataFrame:
+        first = blocks.iloc[0]
+        days = np.concatenate([np.asarray(d, dtype=float) for d in blocks["days"]])
+        y = np.concatenate([np.asarray(v, dtype=float) for v in blocks["values"]]) / first["y_scale"]
+        order = np.argsort(days, kind="stable")
+        days, y = days[order], y[order]
+        low, high = ((day - _EPOCH).days for day in (first["t0"], first["t1"]))
+        trend, waves = _design(days, (days - low) / (high - low), np.asarray(first["knots"]), spec)
+        theta, passes, converged, value, start = descend(trend, waves, y, np.asarray(first["theta"], dtype=float), spec)
+        found = {name: [first[name]] for name in _STATE}
+        found |= {"theta": [theta], "passes": [passes], "converged": [converged], "objective": [value], "objective_start": [start]}
+        return pd.DataFrame(found)
 
     return run
-
-

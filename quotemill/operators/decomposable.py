@@ -5,9 +5,8 @@ Fourier series (Taylor & Letham, "Forecasting at Scale", The American Statistici
 ``t`` runs from 0 to 1 over a ticker's history and ``y`` is divided by its largest absolute
 value while fitting.
 
-The series is kept as one row per ticker and calendar year. Each Gauss-Newton pass joins these
-rows with the current coefficients, turns them into partial Gram matrices, and brings a
-ticker's partials together for one small solve. Scoring is column arithmetic.
+The series is kept as one row per ticker and calendar year. These rows, at most a calendar's days, are brought
+together per ticker and fitted by damped Gauss-Newton steps. Scoring is column arithmetic.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from quotemill.functions.gram import WEEK, YEAR, ModelSpec, block_partials, solve_ticker
+from quotemill.functions.gram import WEEK, YEAR, ModelSpec, block_partials, fit_ticker
 from quotemill.operators.trend_weekly import z_score
 from quotemill.schemas import TICKER_ID, table_schema
 from quotemill.session import settle
@@ -36,6 +35,12 @@ STATE = table_schema(
     knots=_doubles,
     theta=_doubles,
 )
+FITTED = T.StructType(
+    STATE.fields
+    + table_schema(
+        passes=T.IntegerType(), converged=T.BooleanType(), objective=T.DoubleType(), objective_start=T.DoubleType()
+    ).fields
+)
 PARTIAL = T.StructType(
     STATE.fields + table_schema(gram=_doubles, moment=_doubles, sse=T.DoubleType()).fields
 )
@@ -107,18 +112,14 @@ def gram_partials(blocks: DataFrame, state: DataFrame, spec: ModelSpec = DEFAULT
     return blocks.join(state, TICKER_ID).mapInPandas(block_partials(spec), PARTIAL)
 
 
-def next_state(partials: DataFrame, spec: ModelSpec = DEFAULT_SPEC) -> DataFrame:
-    """One solve per ticker. A ticker has no more partials than calendar years."""
-    return partials.groupBy(TICKER_ID).applyInPandas(solve_ticker(spec), STATE)
-
-
 def fit_decomposable(series: DataFrame, spec: ModelSpec = DEFAULT_SPEC) -> DataFrame:
-    """Coefficients per ticker: the state after the last pass, its segments, and the residual
-    spread ``sigma``."""
-    blocks = year_blocks(series)
-    state = settle(starting_state(series, spec), "model-state")
-    for _ in range(spec.passes):
-        state = settle(next_state(gram_partials(blocks, state, spec), spec), "model-state")
+    """Coefficients per ticker, its segments, the residual spread ``sigma``, and how the descent ended:
+    ``passes``, ``converged``, ``objective`` and ``objective_start`` (that of the straight line).
+
+    One shuffle brings the year blocks of a ticker together; there are no more than calendar years.
+    """
+    blocks = year_blocks(series).join(starting_state(series, spec), TICKER_ID)
+    state = settle(blocks.groupBy(TICKER_ID).applyInPandas(fit_ticker(spec), FITTED), "model-state")
 
     state = with_segments(state, spec)
     error = F.col("y") - F.col("yhat")

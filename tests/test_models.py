@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quotemill.functions import gram
 from quotemill.functions.gram import ModelSpec
 from quotemill.operators import decomposable, series as series_ops, trend_weekly
 
@@ -138,11 +139,35 @@ def test_scoring_columns_equal_the_matrix_form(fitted):
     np.testing.assert_allclose(scored["yhat"], level * (1 + season), rtol=1e-9)
 
 
-def test_more_passes_change_nothing_more(spark, fitted):
-    series, coefficients = fitted
-    later = decomposable.fit_decomposable(series.where("ticker_id = 1"), ModelSpec(passes=6)).first()
-    row = coefficients.where("ticker_id = 1").first()
-    assert later.sigma == pytest.approx(row.sigma, rel=1e-5)
+@pytest.mark.parametrize("days", [2, 20, 60, 120, 250, 365, 730])
+def test_the_fit_never_ends_worse_than_the_line(days):
+    rng = np.random.default_rng(days)
+    spec = ModelSpec()
+    for walk in range(6):
+        y = 100 * np.exp(np.cumsum(rng.normal(0, 0.01 + 0.01 * walk, days)))
+        y /= y.max()
+        t = np.arange(days) / (days - 1)
+        part = int(days * 0.8)
+        used = max(0, min(25, part - 1))
+        knots = np.array([round(j * (part - 1) / used) / (days - 1) if j <= used else 1.0 for j in range(1, 26)])
+        trend, waves = gram._design(day_numbers(days).astype(float), t, knots, spec)
+        line = np.zeros(spec.terms)
+        line[:2] = np.polyfit(t, y, 1)
+        theta, _, converged, value, start = gram.descend(trend, waves, y, line, spec)
+        assert converged and value <= start and np.isfinite(theta).all()
+        fitted = (trend @ theta[:27]) * (1 + waves @ theta[27:])
+        assert np.sqrt(np.mean((y - fitted) ** 2)) <= np.sqrt(np.mean((y - trend @ line[:27]) ** 2)) * 1.02 + 1e-9
+        # no small step in any direction leads further down by more than the tolerance of the descent
+        for step in rng.normal(0, 1e-4, (40, spec.terms)) * (np.abs(theta) + 1e-3):
+            moved = theta + step
+            residual = y - (trend @ moved[:27]) * (1 + waves @ moved[27:])
+            assert gram._objective(moved, float(residual @ residual), days, spec) >= value - 1e-3 * (1 + abs(value))
+
+
+def test_how_the_descent_ended_is_stored(fitted):
+    _, coefficients = fitted
+    for row in coefficients.collect():
+        assert row.converged and row.objective <= row.objective_start
 
 
 def test_changepoints_sit_on_observed_days(fitted):
