@@ -167,7 +167,8 @@ def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     )
     kept = []
     for repeated in (False, True):
-        ids = winners.filter("won_rows > 1" if repeated else "won_rows = 1")
+        # as many winners as documents, nearly: the same shuffled join at every size, without sorting texts
+        ids = winners.filter("won_rows > 1") if repeated else winners.filter("won_rows = 1").hint("shuffle_hash")
         rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["won_id"]), "left_semi")
         kept.append(rows.dropDuplicates(["doc_id"]) if repeated else rows)
     return kept[0].unionAll(kept[1])
