@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quotemill.functions.scalars import date_text
-from quotemill.operators.series import days_between
+from quotemill.operators.series import explode_days
 from quotemill.schemas import TICKER_ID
+from quotemill.session import settle
 
 Score = Callable[[DataFrame], DataFrame]
 
@@ -80,11 +81,20 @@ def _answer(rows: DataFrame) -> DataFrame:
 
 
 def _stored_or_scored(wanted: DataFrame, forecast: DataFrame, score: Score) -> DataFrame:
-    """Rows of ``(request_id, ticker_id, ds)`` with the stored values, or the model's."""
-    stored = forecast.select(TICKER_ID, "ds", *[F.col(c).alias(f"stored_{c}") for c in STORED])
-    scored = score(wanted.join(stored, [TICKER_ID, "ds"], "left"))
-    hit = F.col("stored_yhat").isNotNull()
-    return scored.withColumns({c: F.when(hit, F.col(f"stored_{c}")).otherwise(F.col(c)) for c in STORED})
+    """Rows of ``(request_id, ticker_id, ds)`` with the stored values; the model sees only those without any."""
+    answer = ["request_id", TICKER_ID, "ds", *STORED]
+    stored = forecast.select(TICKER_ID, "ds", *STORED)
+    looked_up = settle(wanted.join(stored, [TICKER_ID, "ds"], "left").select(*answer), "looked-up")
+    missing = looked_up.where(F.col("yhat").isNull()).drop(*STORED)
+    return looked_up.where(F.col("yhat").isNotNull()).unionByName(score(missing).select(*answer))
+
+
+def next_stored_days(forecast: DataFrame) -> DataFrame:
+    """``(ticker_id, day, next_day)``: for every day of a ticker's stored span the first stored day from it on."""
+    before = F.lag("ds").over(Window.partitionBy(TICKER_ID).orderBy("ds"))
+    gaps = forecast.select(TICKER_ID, F.col("ds").alias("next_day"), F.date_add(before, 1).alias("after"))
+    begins = gaps.withColumn("after", F.coalesce("after", "next_day")).where(F.col("after") <= F.col("next_day"))
+    return explode_days(begins, "after", "next_day").select(TICKER_ID, F.col("ds").alias("day"), "next_day")
 
 
 def predict_points(requests: DataFrame, forecast: DataFrame, score: Score, known: DataFrame) -> DataFrame:
@@ -100,30 +110,29 @@ def predict_ranges(
     A range without a single stored day is evaluated day by day instead; with ``fill_gaps``
     the missing days of the other ranges are too.
 
-    Without ``fill_gaps`` a range is cut to its ticker's stored span and exploded to months, and a month meets at
-    most 31 stored days: an equi-join whose output is hardly larger than the answer, with no
-    request-by-forecast comparison.
+    Without ``fill_gaps`` the next stored day from a range's first day on tells whether the range holds any. Ranges that
+    do are exploded to months within their ticker's stored span, and a month meets at most 31 stored days: equi-joins
+    whose output is hardly larger than the answer, with no request-by-forecast comparison.
     """
-    request = ["request_id", TICKER_ID, "first", "last"]
     wanted = accepted(check_ranges(requests, known))
-    days = days_between(F.col("first"), F.col("last")).alias("ds")
     if fill_gaps:
-        return _answer(_stored_or_scored(wanted.select("request_id", TICKER_ID, days), forecast, score))
+        return _answer(_stored_or_scored(explode_days(wanted, "first", "last"), forecast, score))
 
-    stored = forecast.select(TICKER_ID, F.trunc("ds", "month").alias("month"), "ds", *STORED)
     span = forecast.groupBy(TICKER_ID).agg(F.min("ds").alias("from_day"), F.max("ds").alias("to_day"))
-    begin, end = F.greatest("first", "from_day"), F.least("last", "to_day")
-    months = F.sequence(F.trunc(begin, "month"), F.trunc(end, "month"), F.expr("interval 1 month"))
-    by_month = wanted.join(span, TICKER_ID).where(begin <= end).select(*request, F.explode(months).alias("month"))
+    from_span = wanted.join(span, TICKER_ID, "left").withColumn("day", F.greatest("first", "from_day"))
+    placed = settle(from_span.join(next_stored_days(forecast), [TICKER_ID, "day"], "left"), "placed-ranges")
+    holds_any = F.coalesce(F.col("next_day") <= F.col("last"), F.lit(False))
+
+    end = F.least("last", "to_day")
+    months = F.sequence(F.trunc("next_day", "month"), F.trunc(end, "month"), F.expr("interval 1 month"))
+    by_month = placed.where(holds_any).withColumn("month", F.explode(months))
+    stored = forecast.select(TICKER_ID, F.trunc("ds", "month").alias("month"), "ds", *STORED)
     inside = F.col("ds").between(F.col("first"), F.col("last"))
-    hits = by_month.join(stored, [TICKER_ID, "month"]).where(inside).select("request_id", TICKER_ID, "ds", *STORED)
-
-    of_ticker = stored.select(F.col(TICKER_ID).alias("_ticker"), F.col("month").alias("_month"), "ds")
-    same_month = (F.col(TICKER_ID) == F.col("_ticker")) & (F.col("month") == F.col("_month"))
-    answered = by_month.join(of_ticker, same_month & inside, "left_semi").select(*request).distinct()
-    missing = wanted.join(answered, request, "left_anti").select("request_id", TICKER_ID, days)
-    evaluated = score(missing).select("request_id", TICKER_ID, "ds", *STORED)
-    return _answer(hits.unionByName(evaluated))
+    answer = ["request_id", TICKER_ID, "ds", *STORED]
+    hits = by_month.join(stored, [TICKER_ID, "month"]).where(inside).select(*answer)
+
+    missing = explode_days(placed.where(~holds_any), "first", "last").select("request_id", TICKER_ID, "ds")
+    return _answer(hits.unionByName(score(missing).select(*answer)))
 
 
 def forecast_info(forecast: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quotemill.functions.scalars import finite
 from quotemill.schemas import DATE, TICKER_ID
 
 
@@ -29,8 +30,8 @@ def keep_most_common(df: DataFrame) -> DataFrame:
 
 
 def training_series(cleaned: DataFrame) -> DataFrame:
-    """``(ticker_id, ds, y)`` with one row per day: of several closes the smallest."""
-    usable = F.col(TICKER_ID).isNotNull() & F.col(DATE).isNotNull() & F.col("Close").isNotNull()
+    """``(ticker_id, ds, y)`` with one row per day: of several closes the smallest. A close must be finite."""
+    usable = F.col(TICKER_ID).isNotNull() & F.col(DATE).isNotNull() & finite(F.col("Close")).isNotNull()
     return (
         cleaned.where(usable)
         .groupBy(TICKER_ID, F.col(DATE).alias("ds"))
@@ -49,6 +50,14 @@ def days_between(first: Column, last: Column) -> Column:
     return F.explode(F.sequence(first, last, F.expr("interval 1 day")))
 
 
+def explode_days(ranges: DataFrame, first: str, last: str) -> DataFrame:
+    """``ranges`` with one row per day ``ds`` of each closed range; year by year, so that no array is longer than that."""
+    years = F.sequence(F.trunc(first, "year"), F.trunc(last, "year"), F.expr("interval 1 year"))
+    begin = F.greatest(F.col(first), F.col("_year"))
+    end = F.least(F.col(last), F.make_date(F.year("_year"), F.lit(12), F.lit(31)))
+    return ranges.withColumn("_year", F.explode(years)).withColumn("ds", days_between(begin, end)).drop("_year")
+
+
 def future_spine(series: DataFrame, periods: int = 365) -> DataFrame:
     """The next ``periods`` calendar days after each ticker's last day."""
     last = series.groupBy(TICKER_ID).agg(F.max("ds").alias("last_day"))

@@ -113,6 +113,35 @@ def test_hot_ticker_and_repeated_request_ids(spark, forecast, known):
     assert out.where("predicted_price < 0").count() == 0
 
 
+def test_hot_ticker_in_a_shuffled_range_lookup(spark, known):
+    """No broadcast, and nine requests of ten for one ticker: each request still gets exactly its stored days."""
+    days = [(t, D(2024, 1, 1) + dt.timedelta(7 * i), float(i), 0.0, 0.0, 0.0) for t in (1, 2) for i in range(40)]
+    stored = spark.createDataFrame(days, FORECAST)
+    rows = [
+        (i, 1 if i % 10 else 2, str(D(2023, 12, 1) + dt.timedelta(i)), str(D(2023, 12, 1) + dt.timedelta(i + i % 23)))
+        for i in range(360)
+    ]
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        found = ranges(spark, stored, known, rows)
+    finally:
+        spark.conf.set(setting, before)
+    of_ticker = {t: {str(d): y for k, d, y, *_ in days if k == t} for t in (1, 2)}
+    for request, ticker, first, last in rows:
+        inside = [(d, y) for d, y in sorted(of_ticker[ticker].items()) if first <= d <= last]
+        span = (D.fromisoformat(last) - D.fromisoformat(first)).days + 1
+        every = [(str(D.fromisoformat(first) + dt.timedelta(k)), -1.0) for k in range(span)]
+        assert found[request] == (inside or every)
+
+
+def test_days_between_far_ends_are_complete(spark, forecast, known):
+    found = ranges(spark, forecast, known, [(1, 1, "2030-02-27", "2034-03-02"), (2, 2, "9999-12-30", "9999-12-31")])
+    assert len(found[1]) == (D(2034, 3, 2) - D(2030, 2, 27)).days + 1
+    assert [d for d, _ in found[2]] == ["9999-12-30", "9999-12-31"]
+
+
 def test_info(spark, forecast):
     rows = lookup.forecast_info(forecast.withColumn("run_ts", F.lit("v1"))).orderBy("ticker_id").collect()
     assert rows[0] == ("v1", 1, "2024-01-20", "2024-03-05", 15)
