@@ -82,8 +82,9 @@ def histogram(forecast: DataFrame, ranges: DataFrame, bins: int = 50) -> DataFra
 def density(forecast: DataFrame, ranges: DataFrame, points: int = 200) -> DataFrame:
     """Gaussian kernel density of ``yhat`` on an even grid from the smallest to the largest value.
 
-    The bandwidth is Scott's rule. Each row adds to ``points`` running sums, which are merged
-    before the shuffle. A ticker whose values are all equal has no density.
+    The bandwidth is Scott's rule. The rows of a ticker, at most its calendar, are brought together before each
+    adds to ``points`` sums, so that rows are shuffled and not their products. A ticker whose values are all equal has
+    no density.
     """
     usable = ranges.where("n >= 2 and spread > 0").select(
         TICKER_ID,
@@ -95,10 +96,13 @@ def density(forecast: DataFrame, ranges: DataFrame, points: int = 200) -> DataFr
     at = F.col("lo") + F.col("point") * F.col("step")
     u = (at - F.col("yhat")) / F.col("bandwidth")
     sums = (
-        forecast.join(usable, TICKER_ID)
+        forecast.select(TICKER_ID, "yhat")
+        .repartition(TICKER_ID)
+        .join(usable, TICKER_ID)
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .groupBy(TICKER_ID, "point", "lo", "step", "n", "bandwidth")
+        .groupBy(TICKER_ID, "point")
         .agg(F.sum(F.exp(-u * u / 2)).alias("mass"))
+        .join(usable, TICKER_ID)
     )
     scale = F.col("n") * F.col("bandwidth") * F.sqrt(2 * F.pi())
     return sums.select(TICKER_ID, "point", at.alias("at"), (F.col("mass") / scale).alias("density"))
