@@ -32,7 +32,8 @@ def _factor() -> Column:
 def fit_trend_weekly(series: DataFrame) -> DataFrame:
     """Coefficients per ticker: ``n, t0, t1, intercept, slope, weekly, sigma``.
 
-    Three aggregations over the series. The per-ticker results are written out in between, so
+    The factor of a weekday is the least-squares one, ``sum(y * trend) / sum(trend²)``, which stays bounded where the
+    trend crosses zero. Three aggregations over the series. The per-ticker results are written out in between, so
     that their true size decides how they are joined. A ticker with one day gets no model, a
     weekday without data the factor 1.
     """
@@ -47,9 +48,12 @@ def fit_trend_weekly(series: DataFrame) -> DataFrame:
     )
     trend = settle(trend.where("n >= 2"), "trend")
 
-    ratio = F.try_divide(F.col("y"), _trend())
+    def total(value: Column, weekday: int) -> Column:
+        return F.sum(F.when(F.dayofweek("ds") == weekday, value))
+
     by_weekday = [
-        F.coalesce(F.avg(F.when(F.dayofweek("ds") == d, ratio)), F.lit(1.0)) for d in WEEKDAYS
+        F.coalesce(F.try_divide(total(F.col("y") * _trend(), d), total(_trend() * _trend(), d)), F.lit(1.0))
+        for d in WEEKDAYS
     ]
     weekly = (
         series.join(trend, TICKER_ID)

@@ -59,11 +59,18 @@ def test_weekly_fit_is_least_squares(spark):
     assert (row.slope, row.intercept) == (pytest.approx(slope), pytest.approx(intercept))
     trend = intercept + slope * np.arange(n)
     weekday = np.array([(START + dt.timedelta(i)).isoweekday() % 7 for i in range(n)])
-    factors = [np.mean((y / trend)[weekday == d]) for d in range(7)]
+    factors = [(y * trend)[weekday == d].sum() / (trend * trend)[weekday == d].sum() for d in range(7)]
     np.testing.assert_allclose(row.weekly, factors, rtol=1e-9)
     assert row.sigma == pytest.approx(np.sqrt(np.mean((y - trend * np.array(factors)[weekday]) ** 2)))
 
 
+def test_factors_stay_bounded_where_the_trend_crosses_zero(spark):
+    series = series_of(spark, t1=[100.0] * 60 + [2.0] * 30)
+    (row,) = trend_weekly.fit_trend_weekly(series).collect()
+    assert row.intercept + row.slope * 89 < 0 < row.intercept
+    assert all(0.5 < factor < 1.5 for factor in row.weekly)
+
+
 def test_weekday_without_data_has_factor_one(spark):
     series = series_of(spark, t1=[1.0, 2.0, 3.0])
     (row,) = trend_weekly.fit_trend_weekly(series).collect()
