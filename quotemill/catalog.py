@@ -21,6 +21,7 @@ from quotemill.sources import runs, tables
 Query = Callable[[SparkSession, str], DataFrame]
 
 RUN_TS = "20240101_000000"
+LATER_RUN_TS = "20250101_000000"
 PREDICTED = ["trend", "yhat", "yhat_lower", "yhat_upper"]
 
 
@@ -185,8 +186,7 @@ def future_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------- trend and weekday model
 
 
-def fit_trend_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, coefficients = _weekly_model(spark, sf_dir)
+def _weekly_coefficients(coefficients: DataFrame) -> DataFrame:
     factors = {f"factor_{d}": F.round(F.get("weekly", F.lit(d - 1)), 6) for d in trend_weekly.WEEKDAYS}
     return (
         _rounded(coefficients, 3, "intercept", "sigma")
@@ -196,6 +196,10 @@ def fit_trend_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fit_trend_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weekly_coefficients(_weekly_model(spark, sf_dir)[1])
+
+
 def score_trend_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     series, coefficients = _weekly_model(spark, sf_dir)
     scored = trend_weekly.score_trend_weekly(series, coefficients)
@@ -319,8 +323,8 @@ def gram_decomposable(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def score_decomposable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scoring at coefficients both engines can state: the straight-line start with a bend at
+def _given_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Series, and coefficients both engines can state: the straight-line start with a bend at
     every changepoint and a share of every wave."""
     series = _series(spark, sf_dir)
     state = settle(decomposable.starting_state(series), "model-state")
@@ -330,12 +334,43 @@ def score_decomposable(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = decomposable.with_segments(
         state.withColumn("theta", F.concat(F.slice("theta", 1, 2), bends, waves))
     ).withColumn("sigma", F.col("y_scale") / 100)
+    return series, given
+
+
+def score_decomposable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series, given = _given_model(spark, sf_dir)
     axis = series_ops.forecast_axis(series)
     scored = decomposable.score_decomposable(axis, given, components=True)
     scored = _rounded(scored, 2, *PREDICTED, "trend_lower", "trend_upper")
     return _rounded(scored, 8, *decomposable.COMPONENTS)
 
 
+def forecast_interval_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series, given = _given_model(spark, sf_dir)
+    scored = decomposable.score_decomposable(series_ops.future_spine(series), given, level=0.95)
+    return _rounded(scored, 2, *PREDICTED).drop("trend")
+
+
+def components_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(decomposable.seasonal_profiles(_given_model(spark, sf_dir)[1]), 8, "effect")
+
+
+def fit_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days and error of the straight line per ticker, and whether the fit is no worse than that line."""
+    series, coefficients = _decomposable_model(spark, sf_dir)
+    day = F.unix_date("ds").cast("double")
+    line = series.groupBy(TICKER_ID).agg(
+        F.sqrt((F.regr_syy("y", day) - F.regr_sxy("y", day) * F.regr_slope("y", day)) / F.count("*")).alias("rmse_line")
+    )
+    return coefficients.join(line, TICKER_ID).select(
+        TICKER_ID,
+        "n",
+        F.round("rmse_line", 3).alias("rmse_line"),
+        (F.col("objective") <= F.col("objective_start")).alias("objective_no_worse"),
+        (F.col("sigma") <= F.col("rmse_line")).alias("rmse_no_worse"),
+    )
+
+
 def fit_decomposable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decomposable_model(spark, sf_dir)[1]
 
@@ -367,6 +402,14 @@ def train_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.metrics.withColumn("run_ts", F.lit(run.run_ts))
 
 
+def train_all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the stored run: its tickers, counts and dates."""
+    root = scratch_path(spark, "runs")
+    run = training.train_all(_encoded_bars(spark, sf_dir), root, RUN_TS)
+    stored = lookup.forecast_info(run.forecast.withColumn("run_ts", F.lit(run.run_ts)))
+    return stored.join(run.metrics.select(TICKER_ID, "n", "n_zero_y"), TICKER_ID)
+
+
 # ------------------------------------------- sinks, read back from the shared folder
 
 
@@ -401,6 +444,16 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(run.forecast.withColumn("run_ts", F.lit(run.run_ts)), 3, *PREDICTED)
 
 
+def load_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients through write, pointer and read, after a second run took the place of the first."""
+    root = scratch_path(spark, "runs")
+    bars = settle(_encoded_bars(spark, sf_dir), "encoded")
+    training.train_all(series_ops.keep_most_common(bars), root, RUN_TS, training.TREND_WEEKLY)
+    training.train_all(bars, root, LATER_RUN_TS, training.TREND_WEEKLY)
+    run = runs.load_run(spark, root)
+    return _weekly_coefficients(run.coefficients).withColumn("run_ts", F.lit(run.run_ts))
+
+
 QUERIES: dict[str, Query] = {
     "scan_raw": scan_raw,
     "scan_cleaned": scan_cleaned,
@@ -440,12 +493,17 @@ QUERIES: dict[str, Query] = {
     "start_decomposable": start_decomposable,
     "gram_decomposable": gram_decomposable,
     "score_decomposable": score_decomposable,
+    "forecast_interval_given": forecast_interval_given,
+    "components_given": components_given,
+    "fit_quality": fit_quality,
     "fit_decomposable": fit_decomposable,
     "score": score,
     "forecast_decomposable": forecast_decomposable,
     "forecast_interval": forecast_interval,
     "components": components,
     "train_all": train_all,
+    "train_all_keys": train_all_keys,
+    "load_model": load_model,
     "land_raw": land_raw,
     "write_cleaned": write_cleaned,
     "forecast_csv_roundtrip": forecast_csv_roundtrip,

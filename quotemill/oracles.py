@@ -62,7 +62,8 @@ CTES = {
         SELECT ticker_id, weekday, coalesce(factor, 1.0) AS factor
         FROM (SELECT ticker_id, unnest(range(1, 8)) AS weekday FROM line_fit)
         LEFT JOIN (SELECT ticker_id, dayofweek(ds) + 1 AS weekday,
-                          avg(y / (intercept + slope * (ds - t0))) AS factor
+                          sum(y * (intercept + slope * (ds - t0)))
+                            / nullif(sum((intercept + slope * (ds - t0)) ** 2), 0) AS factor
                    FROM series JOIN line_fit USING (ticker_id) GROUP BY ALL) USING (ticker_id, weekday)""",
     "residual": """
         SELECT ticker_id, ds, y, intercept + slope * (ds - t0) AS trend,
@@ -395,4 +396,33 @@ ORACLES["land_raw"] = """
 ORACLES["write_cleaned"] = ORACLES["clean_prices"]
 ORACLES["forecast_csv_roundtrip"] = ORACLES["forecast"]
 ORACLES["metrics_json"] = ORACLES["metrics"]
+ORACLES["load_model"] = f"SELECT '20250101_000000' AS run_ts, * FROM ({ORACLES['fit_trend_weekly']})"
+ORACLES["train_all_keys"] = _query("""
+    SELECT '20240101_000000' AS run_ts, ticker_id, n, n_zero_y, strftime(first_day, '%Y-%m-%d') AS forecast_start,
+           strftime(last_day, '%Y-%m-%d') AS forecast_end, total_predictions
+    FROM (SELECT ticker_id, count(*) AS n, count(*) FILTER (y = 0) AS n_zero_y FROM series GROUP BY ticker_id)
+    JOIN (SELECT ticker_id, min(ds) AS first_day, max(ds) AS last_day, count(*) AS total_predictions
+          FROM axis JOIN line_fit USING (ticker_id) GROUP BY ticker_id) USING (ticker_id)""")
+ORACLES["fit_quality"] = _query("""
+    SELECT ticker_id, count(*) AS n, round(sqrt(avg((y - (intercept + slope * (ds - t0))) ** 2)), 3) AS rmse_line,
+           true AS objective_no_worse, true AS rmse_no_worse
+    FROM series JOIN line_fit USING (ticker_id) GROUP BY ticker_id""")
+ORACLES["forecast_interval_given"] = _query(f"""
+    SELECT ticker_id, ds, round(trend * (1 + weekly + yearly), 2) AS yhat,
+           round(trend * (1 + weekly + yearly) - half, 2) AS yhat_lower,
+           round(trend * (1 + weekly + yearly) + half, 2) AS yhat_upper
+    FROM (SELECT *, {NormalDist().inv_cdf(0.975)} * sqrt((y_scale / 100) ** 2 + ((1 + weekly + yearly) * drift) ** 2) AS half
+          FROM (SELECT *, y_scale * sqrt(2 * size ** 2 * 25 * greatest(t - 1, 0.0) ** 3 / 3) AS drift
+                FROM wave_terms SEMI JOIN future USING (ticker_id, ds),
+                     (SELECT avg(abs(j - 13) / 100) AS size FROM (SELECT unnest(range(1, 26)) AS j))))""")
+ORACLES["components_given"] = _query("""
+    SELECT ticker_id, component, CAST(place AS INTEGER) AS place, round(CASE component
+               WHEN 'weekly' THEN list_sum(list_transform(range(1, 4), lambda k: sin(day * (2 * pi() * k / 7.0)) / (100.0 + k)
+                   + cos(day * (2 * pi() * k / 7.0)) / (103.0 + k)))
+               ELSE list_sum(list_transform(range(1, 11), lambda k: sin(day * (2 * pi() * k / 365.25)) / (106.0 + k)
+                   + cos(day * (2 * pi() * k / 365.25)) / (116.0 + k))) END, 8) AS effect
+    FROM (SELECT ticker_id FROM line_start),
+         (SELECT component, place, DATE '2017-01-01' - DATE '1970-01-01' + place AS day
+          FROM (SELECT 'weekly' AS component, unnest(range(7)) AS place
+                UNION ALL SELECT 'yearly' AS component, unnest(range(365)) AS place))""")
 ORACLES["latest_run"] = _query("SELECT '20240101_000000' AS run_ts, * FROM predicted")

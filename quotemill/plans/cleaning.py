@@ -72,11 +72,21 @@ def clean_sample(cleaned: DataFrame, rows: int = 10) -> DataFrame:
 
 
 def run_clean(
-    spark: SparkSession, raw_path: str, cleaned_path: str, dictionary_path: str, **options: bool
+    spark: SparkSession,
+    raw_path: str,
+    cleaned_path: str,
+    dictionary_path: str,
+    report_path: str | None = None,
+    **options: bool,
 ) -> DataFrame:
-    """Read the raw table, write the ticker dictionary and the cleaned table, return the latter."""
+    """Read the raw table, write the ticker dictionary and the cleaned table, return the latter.
+
+    With ``report_path`` the row counts of every step are written there as JSON.
+    """
     raw = read_raw(spark, raw_path)
     clean.ticker_dictionary(raw).write.mode("overwrite").parquet(dictionary_path)
     dictionary = spark.read.parquet(dictionary_path)
     write_cleaned(clean_prices(raw, dictionary, **options), cleaned_path)
+    if report_path is not None:
+        clean_report(raw).write.mode("overwrite").json(report_path)
     return spark.read.parquet(cleaned_path)

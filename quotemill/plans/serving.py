@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from quotemill.operators import lookup
-from quotemill.plans.training import DECOMPOSABLE, Model
+from quotemill.plans.training import MODELS, Model
 from quotemill.sources.runs import Run
 
 
-def answer_points(requests: DataFrame, run: Run, model: Model = DECOMPOSABLE) -> tuple[DataFrame, DataFrame]:
+def _scorer(run: Run, model: Model | None) -> lookup.Score:
+    """The scoring of the given model, or else of the one the run was fitted with."""
+    return (model or MODELS[run.model]).scorer(run.coefficients)
+
+
+def answer_points(requests: DataFrame, run: Run, model: Model | None = None) -> tuple[DataFrame, DataFrame]:
     """Predictions and rejects of a table of point requests."""
     answers = lookup.predict_points(
-        requests, run.forecast, model.scorer(run.coefficients), run.coefficients
+        requests, run.forecast, _scorer(run, model), run.coefficients
     )
     return answers, lookup.rejects(lookup.check_points(requests, run.coefficients))
 
 
 def answer_ranges(
-    requests: DataFrame, run: Run, model: Model = DECOMPOSABLE, fill_gaps: bool = False
+    requests: DataFrame, run: Run, model: Model | None = None, fill_gaps: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Predictions and rejects of a table of range requests."""
     answers = lookup.predict_ranges(
-        requests, run.forecast, model.scorer(run.coefficients), run.coefficients, fill_gaps
+        requests, run.forecast, _scorer(run, model), run.coefficients, fill_gaps
     )
     return answers, lookup.rejects(lookup.check_ranges(requests, run.coefficients))

@@ -4,9 +4,12 @@
     <root>/forecast/run_ts=<version>/       Parquet
     <root>/forecast_csv/run_ts=<version>/   CSV with header
     <root>/metrics/run_ts=<version>/        JSON
-    <root>/latest/                          the current version, one line of text
+    <root>/<table>/run_ts=<version>/        Parquet, any further tables of the run
+    <root>/model/run_ts=<version>/          name of the model, one line of text
+    <root>/latest/                          one line of text per swap: a version and the number of the swap
 
-The pointer is written last. Readers follow it, so that an unfinished run is never seen.
+The pointer is written last and only ever appended to; the line of the largest number holds. Readers follow it, so that
+an unfinished run is never seen, and there is no moment without a pointer.
 """
 
 from __future__ import annotations
@@ -14,9 +17,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from quotemill.schemas import FORECAST, METRICS
+from quotemill.sources.tables import NOTHING_THERE
 
 
 def _part(root: str, table: str, run_ts: str) -> str:
@@ -46,31 +50,56 @@ def write_run(
     forecast: DataFrame,
     metrics: DataFrame,
     csv_copy: bool = True,
+    model: str = "decomposable",
+    tables: dict[str, DataFrame] | None = None,
 ) -> None:
-    """Write a run and point to it once all of it is there."""
-    forecast = forecast.select(*FORECAST.fieldNames())
+    """Write a run and point to it once all of it is there. All columns of the forecast are kept."""
+    spark = metrics.sparkSession
+    further = [name for name in forecast.columns if name not in FORECAST.fieldNames()]
+    forecast = forecast.select(*FORECAST.fieldNames(), *further)
     coefficients.write.mode("overwrite").parquet(_part(root, "coefficients", run_ts))
     forecast.write.mode("overwrite").parquet(_part(root, "forecast", run_ts))
     if csv_copy:
-        stored = forecast.sparkSession.read.schema(FORECAST).parquet(_part(root, "forecast", run_ts))
+        stored = spark.read.schema(forecast.schema).parquet(_part(root, "forecast", run_ts))
         write_forecast_csv(stored, _part(root, "forecast_csv", run_ts))
     write_metrics_json(metrics, _part(root, "metrics", run_ts))
-    point_to(metrics.sparkSession, root, run_ts)
+    for name, table in (tables or {}).items():
+        table.write.mode("overwrite").parquet(_part(root, name, run_ts))
+    _write_line(spark, model, _part(root, "model", run_ts), "overwrite")
+    point_to(spark, root, run_ts)
 
 
-def point_to(spark: SparkSession, root: str, run_ts: str) -> None:
-    spark.range(1).select(F.lit(run_ts).alias("value")).write.mode("overwrite").text(f"{root}/latest")
+def _write_line(spark: SparkSession, line: str, path: str, mode: str) -> None:
+    spark.range(1).select(F.lit(line).alias("value")).coalesce(1).write.mode(mode).text(path)
 
 
-def latest_run(spark: SparkSession, root: str) -> str:
-    """Version the pointer names. One line is read."""
+def _pointer(spark: SparkSession, root: str) -> Row | None:
+    """``(run_ts, swap)`` of the last swap, null where nothing was written; a line without a number is swap 0."""
+    version = F.trim(F.split_part("value", F.lit("\t"), F.lit(1)))
+    swap = F.coalesce(F.split_part("value", F.lit("\t"), F.lit(2)).try_cast("long"), F.lit(0))
     try:
-        line = spark.read.text(f"{root}/latest").select(F.trim("value").alias("run_ts")).first()
+        lines = spark.read.text(f"{root}/latest")
     except AnalysisException as problem:
-        raise FileNotFoundError(f"no run to load under {root}") from problem
-    if line is None:
+        if problem.getCondition() not in NOTHING_THERE:
+            raise
+        return None
+    named = lines.select(version.alias("run_ts"), swap.alias("swap")).where("run_ts <> ''")
+    return named.agg(F.max(F.struct("swap", "run_ts")).alias("last")).first()["last"]
+
+
+def point_to(spark: SparkSession, root: str, run_ts: str) -> None:
+    """Make ``run_ts`` the current version; an older one goes back to it."""
+    last = _pointer(spark, root)
+    swap = last["swap"] + 1 if last else 1
+    _write_line(spark, f"{run_ts}\t{swap}", f"{root}/latest", "append")
+
+
+def latest_run(spark: SparkSession, root: str) -> str:
+    """Version the pointer names."""
+    last = _pointer(spark, root)
+    if last is None:
         raise FileNotFoundError(f"no run to load under {root}")
-    return line["run_ts"]
+    return last["run_ts"]
 
 
 @dataclass(frozen=True)
@@ -81,6 +110,7 @@ class Run:
     coefficients: DataFrame
     forecast: DataFrame
     metrics: DataFrame
+    model: str
 
 
 def load_run(spark: SparkSession, root: str, run_ts: str | None = None) -> Run:
@@ -89,6 +119,7 @@ def load_run(spark: SparkSession, root: str, run_ts: str | None = None) -> Run:
     return Run(
         version,
         spark.read.parquet(_part(root, "coefficients", version)),
-        spark.read.schema(FORECAST).parquet(_part(root, "forecast", version)),
+        spark.read.parquet(_part(root, "forecast", version)),
         read_metrics_json(spark, _part(root, "metrics", version)),
+        spark.read.text(_part(root, "model", version)).first()["value"],
     )

@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from quotemill.schemas import DATE, PROVENANCE_COLUMNS, TICKER_ID
 
 
+NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def read_parquet_files(
     spark: SparkSession, path: str, files: str = "*.parquet", merge: bool = True
 ) -> DataFrame:
     """All Parquet files under ``path``, stacked over the union of their columns.
 
-    Finding no file is an error.
+    Finding no file is an error of its own; any other trouble is raised as it is.
     """
     try:
         return spark.read.option("mergeSchema", merge).option("pathGlobFilter", files).parquet(path)
     except AnalysisException as problem:
+        if problem.getCondition() not in NOTHING_THERE:
+            raise
         raise FileNotFoundError(f"no files {files} found in {path}") from problem
 
 
@@ -53,7 +58,7 @@ def land_raw(
     spark: SparkSession,
     source: str,
     target: str,
-    uploaded_by: str = "upload_script",
+    uploaded_by: str = "upload_script",  # fixed value
     files: str = "*.parquet",
 ) -> DataFrame:
     """Land the files under ``source``, each under its own name with its provenance.

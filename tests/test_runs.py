@@ -125,6 +125,36 @@ def test_pointer_decides_the_version(spark, tmp_path):
     assert rows_of(loaded.forecast) == rows_of(forecast_frame(spark))
     assert rows_of(loaded.metrics) == rows_of(metrics)
     assert loaded.coefficients.first().theta == [1.0]
+    # the pointer is only appended to, so no reader ever finds none
+    assert spark.read.text(f"{root}/latest").count() == 3
+
+
+def test_a_run_knows_its_model_and_holds_the_plot_tables(spark, tmp_path):
+    cleaned = cleaning.clean_prices(raw_frame(spark))
+    run = training.train_all(cleaned, str(tmp_path), model=training.TREND_WEEKLY)
+    assert run.model == "trend_weekly" and len(run.run_ts) == len("20240101_000000")
+    asked = spark.createDataFrame([(1, 1, "2024-01-05"), (2, 1, "2031-01-01")], POINT_REQUESTS)
+    answers, _ = serving.answer_points(asked, run)
+    assert {r.request_id for r in answers.collect()} == {1, 2}
+    count = lambda table: spark.read.parquet(f"{tmp_path}/{table}/run_ts={run.run_ts}").count()
+    assert count("actual_vs_predicted") == 2 * (60 + 365)
+    assert (count("profiles"), count("histogram"), count("density"), count("series_range")) == (14, 100, 400, 2)
+
+
+def test_clean_job_reports_its_counts(spark, tmp_path):
+    raw_frame(spark).write.parquet(str(tmp_path / "raw"))
+    folders = [str(tmp_path / name) for name in ("raw", "cleaned", "tickers", "report")]
+    cleaning.run_clean(spark, *folders)
+    (report,) = spark.read.json(folders[-1]).collect()
+    assert report.rows_read == report.rows_clean == 120
+
+
+def test_other_read_errors_are_not_called_missing_files(spark, tmp_path):
+    spark.range(2).select(F.col("id").cast("int").alias("a")).write.parquet(str(tmp_path / "t"))
+    spark.range(2).select(F.col("id").cast("string").alias("a")).write.mode("append").parquet(str(tmp_path / "t"))
+    with pytest.raises(Exception) as caught:
+        tables.read_cleaned(spark, str(tmp_path / "t"))
+    assert not isinstance(caught.value, FileNotFoundError)
 
 
 def test_run_id_format(spark):
@@ -144,6 +174,7 @@ def test_land_clean_train_and_serve(spark, tmp_path):
     assert rows_of(spark.read.parquet(folder("tickers"))) == [("A", 1), ("B", 2)]
     run = training.train_all(cleaned, folder("models"), "20240101_000000")
     assert run.forecast.count() == 2 * (60 + 365)
+    assert {"weekly", "yearly", "trend_lower", "trend_upper"} <= set(run.forecast.columns)
     assert run.forecast.groupBy("ticker_id", "ds").count().where("count > 1").count() == 0
     assert run.forecast.where("yhat < yhat_lower or yhat > yhat_upper").count() == 0
     assert all(r.r2 > 0.99 for r in run.metrics.collect())
