@@ -19,7 +19,7 @@ from itertools import product
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.llm.common import connected_components, map_batches
@@ -155,25 +155,51 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """Whole rows of the smallest id of each group. Of rows with the same id one stays."""
-    groups = near_duplicates(docs, radius, width)
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns, and of which of them are null."""
+    columns = [docs[f"`{name}`"] for name in docs.columns]
+    hashed = [F.to_json(F.struct(c)) if "map<" in kind else c for c, (_, kind) in zip(columns, docs.dtypes, strict=True)]
+    return F.xxhash64(*hashed, *(c.isNull() for c in columns))
+
+
+def keep_rows(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:
+    """One whole row of each component: of the smallest id, null ids last, and of the smallest hash of the row among those.
+
+    ``marked(doc_id, row, node)`` has a line for each row of ``docs``, ``roots(node, root)`` the nodes that are linked.
+    """
+    rows = marked.groupBy("node", "doc_id", "row").agg(F.count("*").alias("n_rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "n_rows")).alias("first")
+    nodes = rows.groupBy("node").agg(first).join(roots, "node", "left")
     winners = settle(
-        groups.groupBy(F.col("doc_id").alias("won_id"))
-        .agg(F.count("*").alias("won_rows"), F.min(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("won"))
-        .filter("won")
-        .select("won_id", "won_rows"),
-        "simhash-winners",
+        nodes.groupBy(F.coalesce("root", "node").alias("root"))
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first.doc_id").alias("won_id"), F.col("first.row").alias("won_row"), F.col("first.n_rows").alias("won_rows")),
+        "dedup-winners",
     )
+    key = row_hash(docs)
     kept = []
     for repeated in (False, True):
         # as many winners as documents, nearly: the same shuffled join at every size, without sorting texts
         ids = winners.filter("won_rows > 1") if repeated else winners.filter("won_rows = 1").hint("shuffle_hash")
-        rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["won_id"]), "left_semi")
-        kept.append(rows.dropDuplicates(["doc_id"]) if repeated else rows)
+        found = docs.join(ids, docs["doc_id"].eqNullSafe(ids["won_id"]) & (key == ids["won_row"]), "left_semi")
+        if repeated:
+            found = found.groupBy(found["doc_id"], row_hash(found)).agg(F.first(F.struct("*")).alias("one")).select("one.*")
+        kept.append(found)
     return kept[0].unionAll(kept[1])
 
 
+def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+    """One whole row of each group, decided by each row's own text whatever its id."""
+
+    def setup():
+        return lambda ids, rows, texts: (ids, rows, [signed(fingerprint(text, width)) for text in texts])
+
+    columns = docs.select(F.col("doc_id").cast("long"), row_hash(docs).alias("row"), F.col("text").cast("binary"))
+    marked = settle(map_batches(columns, setup, "doc_id long, row long, node long"), "simhash-rows")
+    classes = settle(marked.select(F.col("node").alias("fp")).distinct(), "simhash-classes")
+    return keep_rows(docs, marked, connected_components(links(classes, radius), "simhash"))
+
+
 def query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
