@@ -142,7 +142,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, start, n_words, other_id``: words that repeat in another document, in maximal stretches.
 
     ``start`` counts words from 0. Every ``LEAST`` words of a stretch occur in ``other_id``. A text with exact copies is one
-    stretch from end to end.
+    stretch from end to end; the copy of smallest id has the stretches it shares with other texts besides.
     """
     suffixes = settle(retained(docs), "suffix-retained")
     texts = settle(
@@ -189,9 +189,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         return work
 
     stretches = map_batches(per_doc, setup, "doc_id long, start int, n_words int, other_id long", rows=64)
-    # the representative of copies is whole already
-    own = copied.select(F.col("low").alias("doc_id"))
-    return copies.unionAll(stretches.join(own, "doc_id", "left_anti")).distinct()
+    return copies.unionAll(stretches).distinct()
 
 
 def cut_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:

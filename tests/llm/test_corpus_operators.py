@@ -286,3 +286,16 @@ def test_hot_passage_at_different_places(spark):
     assert {r["doc_id"] for r in found} == set(range(0, 300, 3)) and {r["n_words"] for r in found} == {55}
     cut = suffix_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")))
     assert sum(" ".join(shared) in r["text"] for r in cut.collect()) == 1
+
+
+def test_copies_that_share_a_passage_with_other_texts(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared, tail = [word() for _ in range(60)], [word() for _ in range(30)]
+    texts = {2: [*[word() for _ in range(10)], *shared], 5: [*shared, *tail], 7: [*shared, *tail], 9: [*shared, word()]}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    found = suffix_dedup.repeats(docs)
+    rows = {tuple(r) for r in found.collect()}
+    assert {(5, 0, 90, 7), (7, 0, 90, 5), (5, 0, 60, 2)} <= rows
+    cut = {r["doc_id"]: r["text"] for r in suffix_dedup.cut_repeats(docs, found).collect()}
+    assert cut[2] == " ".join(texts[2]) and cut[5] == " ".join(tail) and cut[7] == "" and cut[9] == texts[9][-1]
