@@ -299,3 +299,15 @@ def test_copies_that_share_a_passage_with_other_texts(spark):
     assert {(5, 0, 90, 7), (7, 0, 90, 5), (5, 0, 60, 2)} <= rows
     cut = {r["doc_id"]: r["text"] for r in suffix_dedup.cut_repeats(docs, found).collect()}
     assert cut[2] == " ".join(texts[2]) and cut[5] == " ".join(tail) and cut[7] == "" and cut[9] == texts[9][-1]
+
+
+def test_pages_without_the_constant_paragraph_lose_nothing(spark):
+    rows, expected = [], {}
+    for n in range(40):
+        own = [f"paragraph {k} of page {n} tells its own story" for k in range(3 if n % 13 == 5 else 5)]
+        tail = [] if n % 13 == 5 else ["All of this is under the free licence of the archive"]
+        body = "".join(f"<p>{p}</p>" for p in [*own, *tail])
+        rows.append((n, f"http://h.example/{n}", f"<html><body><article>{body}</article></body></html>"))
+        expected[n] = " ".join(own)
+    found = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in found.collect()} == expected
