@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from quotemill.llm import (
+    collocations,
+    cross_tokenizer,
     decontamination,
     html_extraction,
     pii,
@@ -13,6 +15,7 @@ from quotemill.llm import (
     suffix_dedup,
     token_counts,
     token_output,
+    toxicity,
 )
 from quotemill.llm.common import read_table
 
@@ -54,6 +57,13 @@ QUERIES = {
     ),
     "op9_html_extraction": lambda spark, sf_dir: html_extraction.extract(read_table(spark, sf_dir, "pages")),
     "op10_suffix_dedup": over_documents(suffix_dedup.query),
+    "op11_cross_tokenizer": lambda spark, sf_dir: cross_tokenizer.query(
+        read_table(spark, sf_dir, "documents"), tokenizer_path(spark, BYTE_BPE), tokenizer_path(spark, SENTENCE_PIECES)
+    ),
+    "op12_collocations": over_documents(collocations.query),
+    "op13_toxicity": lambda spark, sf_dir: toxicity.query(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    ),
 }
 
-ORACLES = {"op1_quality_rules": quality_rules.oracle()}
+ORACLES = {"op1_quality_rules": quality_rules.oracle(), "op12_collocations": collocations.oracle()}

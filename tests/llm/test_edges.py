@@ -10,6 +10,7 @@ from quotemill.llm import html_extraction, queries
 from quotemill.llm.common import read_table
 
 EXTRA = ["fp", "fingerprint", "component_id", "score", "host", "words", "lines", "chars", "ids", "edits", "h", "won", "won_id"]
+EXTRA += ["block", "places", "toxic", "quality", "term", "pair", "rank"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} string" for c in EXTRA)
 OPERATORS = [name for name in queries.QUERIES if name != "op9_html_extraction"]
 
@@ -52,11 +53,14 @@ def empty(spark, tmp_path_factory):
 def test_odd_rows(spark, odd, name):
     folder, rows = odd
     found = queries.QUERIES[name](spark, folder).collect()
-    if name in ("op4_decontamination", "op10_suffix_dedup"):
+    if name == "op12_collocations":
+        assert [(r["lang"], r["phrase"], r["a"]) for r in found if r["phrase"].startswith("w7918")] == []
+        assert {r["n"] for r in found if r["lang"] == "en"} and all(r["a"] >= 30 for r in found)
+    elif name in ("op4_decontamination", "op10_suffix_dedup"):
         assert all(r["doc_id"] not in (9001, 9002, 9003) for r in found)
     else:
         assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in found) == sorted((r[0] is None, r[0] or 0) for r in rows)
-    by_id = {r["doc_id"]: r for r in found}
+    by_id = {} if name == "op12_collocations" else {r["doc_id"]: r for r in found}
     if name == "op1_quality_rules":
         assert by_id[9001]["n_words"] == by_id[9002]["n_words"] == by_id[9003]["n_words"] == 0 and by_id[9001]["base_failed"]
         assert by_id[9004]["n_words"] == 120_000
@@ -70,6 +74,11 @@ def test_odd_rows(spark, odd, name):
         assert by_id[9001]["n_tokens"] == by_id[9002]["n_tokens"] == 1
         assert min(r["start"] for r in found) == 0
         assert sum(r["n_tokens"] for r in found) == max(r["start"] + r["n_tokens"] for r in found)
+    if name == "op11_cross_tokenizer":
+        assert by_id[9001]["n_a"] == by_id[9002]["n_links"] == 0 and by_id[9002]["groups_sha256"] == ""
+        assert by_id[9004]["groups_sha256"] == by_id[9005]["groups_sha256"] != ""
+    if name == "op13_toxicity":
+        assert by_id[9001]["score"] == by_id[9002]["score"] and not by_id[None]["held_out"]
     if name == "op10_suffix_dedup":
         assert {(r["start"], r["n_words"], r["other_id"]) for r in found if r["doc_id"] == 9005} == {(0, 120_000, 9004)}
 
