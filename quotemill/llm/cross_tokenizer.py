@@ -34,9 +34,9 @@ from quotemill.llm.sentencepiece_codec import BYTE, MARK, parse, separable
 from quotemill.llm.units import UnitEncoder, byte_bpe
 from quotemill.session import settle
 
-BLOCK = 1 << 22
-UNITS = 150_000
-WINDOWS = 1 << 25
+BLOCK = 1 << 20
+UNITS = 200_000
+WINDOWS = 100_000_000  # bytes, nearly
 ROWS = 256
 
 BLOCKS = (
@@ -91,33 +91,15 @@ def piece_side(raw: bytes) -> Side:
     return Side(UnitEncoder(processor.encode, opens, dummy=True, odd=odd, limit=UNITS), table)
 
 
-def overlaps(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[list[tuple], list[tuple[int, int]]]:
-    """Groups between shared ends, as pairs of id lists, and all pairs of ids whose bytes overlap."""
-    groups, links = [], []
-    i = j = first_a = first_b = 0
-    end_a, end_b = a_size[0], b_size[0]
-    while True:
-        links.append((a[i], b[j]))
-        if end_a == end_b:
-            groups.append((a[first_a : i + 1], b[first_b : j + 1]))
-            i, j = i + 1, j + 1
-            if i == len(a) or j == len(b):
-                return groups, links
-            first_a, first_b = i, j
-            end_a, end_b = end_a + a_size[i], end_b + b_size[j]
-        elif end_a < end_b:
-            i += 1
-            end_a += a_size[i]
-        else:
-            j += 1
-            end_b += b_size[j]
-
-
 class Aligner:
     """Both sides, and the windows met so far by their id tuples."""
 
     def __init__(self, spec: str, raw: bytes):
         self.a, self.b = byte_side(spec), piece_side(raw)
+        # an id as it is written in a group: not the last of its side, or the last
+        n_a, n_b = len(self.a.table), len(self.b.table)
+        self.signs = [f"{i}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for end in ends for i in range(n)]
+        self.sign_sizes = np.array([len(s) for s in self.signs], np.int64)
         self.forget()
 
     def forget(self) -> None:
@@ -125,59 +107,96 @@ class Aligner:
         self.texts, self.raws, self.links, self.n_groups = [], [], [], []
         self.size = 0
 
-    def learn(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (np.frombuffer(side, np.uint32).tolist() for side in key)
-        raw = b"".join(map(self.a.table.__getitem__, a))
-        if raw == b"".join(map(self.b.table.__getitem__, b)) and a and b:
-            sizes = [len(self.a.table[i]) for i in a], [len(self.b.table[i]) for i in b]
-            groups, links = overlaps(a, b, *sizes)
-            text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-            self.links.append(np.array([x << 32 | y for x, y in links], np.int64).tobytes())
-        else:  # the two do not spell the same bytes
-            raw, text, groups = None, "", []
-            self.links.append(b"")
-        self.raws.append(raw)
-        self.texts.append(text)
-        self.n_groups.append(len(groups))
-        self.known[key] = found = len(self.raws) - 1
-        self.size += 4 * (len(key[0]) + len(key[1])) + 200
-        return found
-
-    def align(self, text: str, a: bytes, b: bytes) -> tuple[int, int, int, str, np.ndarray] | None:
-        """Numbers of tokens and groups, the digest of the groups, the links as packed pairs; none where bytes differ."""
-        raw = b" " + text.encode()
+    def learn(self, keys: list[tuple[bytes, bytes]]) -> None:
+        """Align new windows, all in one pass: a window of both sides has as many bytes on each."""
+        a, b = (np.frombuffer(b"".join(k[side] for k in keys), np.uint32).astype(np.int64) for side in (0, 1))
+        a_last, b_last = (np.cumsum([len(k[side]) // 4 for k in keys]) - 1 for side in (0, 1))
+        a_ends, b_ends = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
+        raw = b"".join(map(self.a.table.__getitem__, a.tolist()))
+        other = b"".join(map(self.b.table.__getitem__, b.tolist()))
+
+        # links: of each A token the run of B tokens that overlap it
+        low = np.searchsorted(b_ends, a_ends - self.a.length[a], "right")
+        number = np.searchsorted(b_ends - self.b.length[b], a_ends, "left") - low
+        after = np.cumsum(number)
+        run = np.arange(after[-1]) - np.repeat(after - number, number)
+        links = (np.repeat(a, number) << 32 | b[np.repeat(low, number) + run]).tobytes()
+
+        # groups end where both sides end; the tokens of a group are written one side after the other
+        a_shared, b_shared = np.isin(a_ends, b_ends), np.isin(b_ends, a_ends)
+        a_group, b_group = np.cumsum(a_shared) - a_shared, np.cumsum(b_shared) - b_shared
+        b_before = np.concatenate(([0], np.flatnonzero(b_shared) + 1))
+        a_through = np.flatnonzero(a_shared) + 1
+        b_place = np.arange(len(b)) + a_through[b_group]
+        codes = np.empty(len(a) + len(b), np.int64)
+        n_a, n_b = len(self.a.table), len(self.b.table)
+        codes[np.arange(len(a)) + b_before[a_group]] = a + n_a * a_shared
+        codes[b_place] = 2 * n_a + b + n_b * b_shared
+        text = "".join(map(self.signs.__getitem__, codes.tolist()))
+        text_ends = np.cumsum(self.sign_sizes[codes])[b_place[b_last]].tolist()
+
+        raw_ends, link_ends, groups = a_ends[a_last].tolist(), (8 * after[a_last]).tolist(), np.cumsum(a_shared)[a_last]
+        starts = [[0, *ends[:-1]] for ends in (raw_ends, link_ends, text_ends)]
+        raws = [raw[i:j] for i, j in zip(starts[0], raw_ends, strict=True)]
+        if raw != other:  # a window whose two sides spell different bytes aligns nothing
+            raws = [r if r == other[i:j] else None for r, i, j in zip(raws, starts[0], raw_ends, strict=True)]
+        self.known.update(zip(keys, range(len(self.raws), len(self.raws) + len(keys)), strict=True))
+        self.raws += raws
+        self.links += [links[i:j] for i, j in zip(starts[1], link_ends, strict=True)]
+        self.texts += [text[i:j] for i, j in zip(starts[2], text_ends, strict=True)]
+        self.n_groups += np.diff(groups, prepend=0).tolist()
+        self.size += 2 * len(raw) + len(text) + len(links) + 400 * len(keys)
+
+    def windows(self, n_bytes: int, a: bytes, b: bytes) -> list[tuple[bytes, bytes]] | None:
+        """The text cut where a space-marked token begins on both sides; none where the numbers of bytes differ."""
         a_ids, b_ids = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
         if not len(a_ids) or not len(b_ids):
             return None
         a_ends, b_ends = np.cumsum(self.a.length[a_ids]), np.cumsum(self.b.length[b_ids])
-        if a_ends[-1] != len(raw) or b_ends[-1] != len(raw):
+        if a_ends[-1] != n_bytes or b_ends[-1] != n_bytes:
             return None
         a_marks, b_marks = np.flatnonzero(self.a.marked[a_ids]), np.flatnonzero(self.b.marked[b_ids])
         a_at, b_at = a_ends[a_marks] - self.a.length[a_ids[a_marks]], b_ends[b_marks] - self.b.length[b_ids[b_marks]]
         place = np.minimum(np.searchsorted(b_at, a_at), max(len(b_at) - 1, 0))
-        shared = np.flatnonzero(b_at[place] == a_at) if len(b_at) else np.zeros(0, np.int64)
-        a_cut, b_cut = 4 * a_marks[shared], 4 * b_marks[place[shared]]
-        a_cut = [0, *a_cut[a_at[shared] > 0].tolist(), len(a)]
-        b_cut = [0, *b_cut[a_at[shared] > 0].tolist(), len(b)]
-        keys = list(zip([a[i:j] for i, j in zip(a_cut, a_cut[1:])], [b[i:j] for i, j in zip(b_cut, b_cut[1:])], strict=True))
-        found = list(map(self.known.get, keys))
-        if None in found:
-            found = [self.known[k] if k in self.known else self.learn(k) for k in keys]
-        try:
-            if b"".join(map(self.raws.__getitem__, found)) != raw:
-                return None
-        except TypeError:  # a window whose two sides differ
-            return None
-        digest = hashlib.sha256(";".join(map(self.texts.__getitem__, found)).encode()).hexdigest()
-        links = np.frombuffer(b"".join(map(self.links.__getitem__, found)), np.int64)
-        return len(a_ids), len(b_ids), sum(map(self.n_groups.__getitem__, found)), digest, links
+        shared = np.flatnonzero((b_at[place] == a_at) & (a_at > 0)) if len(b_at) else np.zeros(0, np.int64)
+        a_cut = [0, *(4 * a_marks[shared]).tolist(), len(a)]
+        b_cut = [0, *(4 * b_marks[place[shared]]).tolist(), len(b)]
+        return list(zip(map(a.__getitem__, map(slice, a_cut, a_cut[1:])), map(b.__getitem__, map(slice, b_cut, b_cut[1:])), strict=True))
 
-    def batch(self, texts: list[str | None]) -> list[tuple | None]:
+    def batch(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray] | None]:
+        """Of each text numbers of tokens and groups, the digest of the groups, the links as packed pairs; none where bytes differ."""
         if self.size > WINDOWS:
             self.forget()
         a = self.a.units.batch([f" {t}" if t else None for t in texts])[0]
         b = self.b.units.batch(texts)[0]
-        return [self.align(t, x, y) if t else None for t, x, y in zip(texts, a, b, strict=True)]
+        raws = [b" " + t.encode() if t else b"" for t in texts]
+        cut = [self.windows(len(r), x, y) if r else None for r, x, y in zip(raws, a, b, strict=True)]
+        new = {k: None for keys in cut if keys for k in keys if k not in self.known}
+        if new:
+            self.learn(list(new))
+        out = []
+        for raw, keys, x, y in zip(raws, cut, a, b, strict=True):
+            found = list(map(self.known.__getitem__, keys)) if keys else []
+            parts = list(map(self.raws.__getitem__, found))
+            if not keys or None in parts or b"".join(parts) != raw:
+                out.append(None)
+                continue
+            text = "".join(map(self.texts.__getitem__, found))[:-1]
+            links = np.frombuffer(b"".join(map(self.links.__getitem__, found)), np.int64)
+            groups = sum(map(self.n_groups.__getitem__, found))
+            out.append((len(x) // 4, len(y) // 4, groups, hashlib.sha256(text.encode()).hexdigest(), links))
+        return out
+
+
+def narrow(numbers: np.ndarray) -> bytes:
+    """In two, four or eight bytes each, as the largest needs."""
+    most = int(numbers.max(initial=0))
+    return numbers.astype("<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<i8").tobytes()
+
+
+def widen(raw: bytes, n: int) -> np.ndarray:
+    kind = {2: "<u2", 4: "<u4", 8: "<i8"}[len(raw) // n] if n else "<i8"
+    return np.frombuffer(raw, kind).astype(np.int64)
 
 
 def align_blocks(docs: DataFrame, spec: str, raw: bytes, block: int = BLOCK) -> DataFrame:
@@ -200,7 +219,7 @@ def align_blocks(docs: DataFrame, spec: str, raw: bytes, block: int = BLOCK) ->
                 numbers = np.zeros(0, np.int64)
             columns = [[h[i] for h in held] for i in range(6)]
             sizes = [len(h[6]) for h in held]
-            packed = [places.astype("<i4").tobytes(), numbers.astype("<i8").tobytes()]
+            packed = [narrow(places), narrow(numbers)]
             row = [number, *columns, sizes, *packed, pairs, counts]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, out, strict=True)], schema=out)
 
@@ -251,8 +270,7 @@ def align(docs: DataFrame, spec: str, raw: bytes, block: int = BLOCK) -> DataFra
         for batch in batches:
             for at in range(batch.num_rows):
                 (row,) = batch.slice(at, 1).to_pylist()
-                places = np.frombuffer(row["places"], "<i4")
-                numbers = np.frombuffer(row["numbers"], "<i8")
+                places, numbers = (widen(row[c], sum(row["sizes"])) for c in ("places", "numbers"))
                 n, best = np.array(row["n"] or [], np.int64), np.array(row["best"] or [], bool)
                 # sums of exact integers, cut at the ends of the texts
                 ends = np.cumsum([0, *row["sizes"]])
