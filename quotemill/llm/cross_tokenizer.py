@@ -4,7 +4,9 @@ Every text is tokenised whole by both: ``A`` a byte-level BPE over a blank and t
 puts that blank itself. Byte offsets follow from the lengths of the tokens. A window begins where a space-marked token of A and
 one of B begin at the same byte, which is an end shared by the tokens before. The alignment of a window (groups, links,
 bytes) depends on its two tuples of ids alone and is kept by these tuples; the bytes of all windows must
-give the text again, so that no shared end is taken on trust.
+give the text again, so that no shared end is taken on trust. Where no blank is followed by white space, what stands between
+blanks is tokenised by itself as within the text (``units``), and its window is found by its spelling, which has one pair of
+tuples: both sides are checked to spell it when it is first met. Any other text is tokenised and cut whole.
 
 Links of a text are kept as distinct pairs with numbers, in blocks of whole texts of about ``BLOCK`` bytes. A block
 sends each of its distinct pairs once: summed over the corpus, compared with the best of the B id, and joined back to the
@@ -19,9 +21,12 @@ read, whatever their names.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +40,10 @@ from quotemill.llm.units import UnitEncoder, byte_bpe
 from quotemill.session import settle
 
 BLOCK = 1 << 20
-UNITS = 200_000
-WINDOWS = 100_000_000  # bytes, nearly
+WINDOWS = 300_000
 ROWS = 256
+# a blank before white space: what follows is no unit
+BROKEN = re.compile(r" \s")
 
 BLOCKS = (
     "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
@@ -72,9 +78,7 @@ def byte_side(spec: str) -> Side:
     for piece, i in vocabulary.items():
         known = all(c in signs for c in piece)
         table[i] = bytes(signs[c] for c in piece) if known else piece.encode()
-    units = byte_bpe(spec, marks=True)
-    units.limit = UNITS
-    return Side(units, table)
+    return Side(byte_bpe(spec), table)
 
 
 def piece_side(raw: bytes) -> Side:
@@ -88,7 +92,7 @@ def piece_side(raw: bytes) -> Side:
     whole = not (separable(model) and model.dummy_prefix and model.extra_spaces)
     opens = {" ": np.array([p.startswith(MARK) for p in model.pieces])}
     odd = lambda text: whole or MARK in text
-    return Side(UnitEncoder(processor.encode, opens, dummy=True, odd=odd, limit=UNITS), table)
+    return Side(UnitEncoder(processor.encode, opens, dummy=True, odd=odd), table)
 
 
 class Aligner:
@@ -100,12 +104,18 @@ class Aligner:
         n_a, n_b = len(self.a.table), len(self.b.table)
         self.signs = [f"{i}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for end in ends for i in range(n)]
         self.sign_sizes = np.array([len(s) for s in self.signs], np.int64)
-        self.forget()
+        self.place, self.warm, self.known = {}, set(), {}
+        self.texts, self.raws, self.links, self.sizes = [], [], [], [[], [], []]
 
     def forget(self) -> None:
+        """Keep only the windows that came back since the last time, if these are not most of them."""
+        warm = [u for u in self.warm if u in self.place] if 2 * len(self.warm) < WINDOWS else []
+        kept = [self.place[u] for u in warm if self.place[u] >= 0]
+        old = (self.texts, self.raws, self.links, *self.sizes)
+        self.texts, self.raws, self.links, *self.sizes = ([side[i] for i in kept] for side in old)
+        self.place = dict(zip((u for u in warm if self.place[u] >= 0), range(len(kept)), strict=True))
         self.known: dict[tuple[bytes, bytes], int] = {}
-        self.texts, self.raws, self.links, self.n_groups = [], [], [], []
-        self.size = 0
+        self.warm: set[str] = set()
 
     def learn(self, keys: list[tuple[bytes, bytes]]) -> None:
         """Align new windows, all in one pass: a window of both sides has as many bytes on each."""
@@ -141,11 +151,28 @@ class Aligner:
         if raw != other:  # a window whose two sides spell different bytes aligns nothing
             raws = [r if r == other[i:j] else None for r, i, j in zip(raws, starts[0], raw_ends, strict=True)]
         self.known.update(zip(keys, range(len(self.raws), len(self.raws) + len(keys)), strict=True))
+        for sizes, last in zip(self.sizes, (a_last, b_last, groups - 1), strict=True):
+            sizes += np.diff(last, prepend=-1).tolist()
         self.raws += raws
         self.links += [links[i:j] for i, j in zip(starts[1], link_ends, strict=True)]
         self.texts += [text[i:j] for i, j in zip(starts[2], text_ends, strict=True)]
-        self.n_groups += np.diff(groups, prepend=0).tolist()
-        self.size += 2 * len(raw) + len(text) + len(links) + 400 * len(keys)
+
+    def learn_units(self, units: list[str]) -> None:
+        """Numbers of the windows of blank-separated units, by the ids that both sides give them; none where bytes differ."""
+        keys, fit = [], np.array([1 + len(u.encode()) for u in units])
+        right = np.ones(len(units), bool)
+        for side in (self.a, self.b):
+            side.units.learn(units)
+            ids = list(map(side.units.known.__getitem__, units))
+            side.units.known.clear()
+            starts = np.cumsum([0, *(len(x) // 4 for x in ids[:-1])])
+            right &= np.add.reduceat(side.length[np.frombuffer(b"".join(ids), np.uint32)], starts) == fit
+            keys.append(ids)
+        keys, fit = list(zip(*keys, strict=True)), right.tolist()
+        new = list(dict.fromkeys(k for k, ok in zip(keys, fit, strict=True) if ok and k not in self.known))
+        if new:
+            self.learn(new)
+        self.place.update((u, self.known[k] if ok else -1) for u, k, ok in zip(units, keys, fit, strict=True))
 
     def windows(self, n_bytes: int, a: bytes, b: bytes) -> list[tuple[bytes, bytes]] | None:
         """The text cut where a space-marked token begins on both sides; none where the numbers of bytes differ."""
@@ -163,28 +190,43 @@ class Aligner:
         b_cut = [0, *(4 * b_marks[place[shared]]).tolist(), len(b)]
         return list(zip(map(a.__getitem__, map(slice, a_cut, a_cut[1:])), map(b.__getitem__, map(slice, b_cut, b_cut[1:])), strict=True))
 
+    def cut(self, text: str) -> list[str] | None:
+        """Units that begin a space-marked token on both sides, a blank before each; none if the text has to be seen whole."""
+        if self.b.units.odd(text):
+            return None
+        units = text.split(" ")
+        return units if BROKEN.search(f" {text} ") is None else None
+
     def batch(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray] | None]:
         """Of each text numbers of tokens and groups, the digest of the groups, the links as packed pairs; none where bytes differ."""
-        if self.size > WINDOWS:
+        if len(self.raws) > WINDOWS:
             self.forget()
-        a = self.a.units.batch([f" {t}" if t else None for t in texts])[0]
-        b = self.b.units.batch(texts)[0]
-        raws = [b" " + t.encode() if t else b"" for t in texts]
-        cut = [self.windows(len(r), x, y) if r else None for r, x, y in zip(raws, a, b, strict=True)]
-        new = {k: None for keys in cut if keys for k in keys if k not in self.known}
+        cuts = [self.cut(t) if t else None for t in texts]
+        met = set(chain.from_iterable(c for c in cuts if c))
+        new = met - self.place.keys()
+        self.warm |= met - new
         if new:
-            self.learn(list(new))
+            self.learn_units(sorted(new))
+            gc.freeze()  # what is kept holds no cycles: do not search it again and again
         out = []
-        for raw, keys, x, y in zip(raws, cut, a, b, strict=True):
-            found = list(map(self.known.__getitem__, keys)) if keys else []
-            parts = list(map(self.raws.__getitem__, found))
-            if not keys or None in parts or b"".join(parts) != raw:
+        for text, units in zip(texts, cuts, strict=True):
+            raw = f" {text}".encode() if text else b""
+            if units:
+                found = list(map(self.place.__getitem__, units))
+            else:
+                keys = self.windows(len(raw), self.a.units.whole(f" {text}"), self.b.units.whole(text)) if text else None
+                missing = [k for k in dict.fromkeys(keys or []) if k not in self.known]
+                if missing:
+                    self.learn(missing)
+                found = [self.known[k] for k in keys or []]
+            parts = list(map(self.raws.__getitem__, found)) if -1 not in found else []
+            if not parts or None in parts or b"".join(parts) != raw:
                 out.append(None)
                 continue
-            text = "".join(map(self.texts.__getitem__, found))[:-1]
+            signs = "".join(map(self.texts.__getitem__, found))[:-1]
             links = np.frombuffer(b"".join(map(self.links.__getitem__, found)), np.int64)
-            groups = sum(map(self.n_groups.__getitem__, found))
-            out.append((len(x) // 4, len(y) // 4, groups, hashlib.sha256(text.encode()).hexdigest(), links))
+            sizes = [sum(map(x.__getitem__, found)) for x in self.sizes]
+            out.append((*sizes, hashlib.sha256(signs.encode()).hexdigest(), links))
         return out
 
 
