@@ -24,6 +24,10 @@ NO_MODEL = "model not loaded"
 
 STORED = ["yhat", "yhat_lower", "yhat_upper", "trend"]
 
+# a join key with more requests is dealt over several tasks; no more keys than these are
+HOT_ROWS = 100_000
+HOT_KEYS = 50_000
+
 
 def _with_model_flag(requests: DataFrame, known: DataFrame) -> DataFrame:
     flags = known.select(TICKER_ID, F.lit(True).alias("_known"))
@@ -80,13 +84,44 @@ def _answer(rows: DataFrame) -> DataFrame:
     )
 
 
+def deal_out(
+    left: DataFrame, right: DataFrame, keys: list[str], rows: int = HOT_ROWS, most: int = HOT_KEYS
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of an equi-join and its keys, such that no key has many more than ``rows`` rows of ``left`` in a task.
+
+    The keys of ``left`` are counted, copies combining before the shuffle. A key with more than ``rows`` rows is hot: its rows of
+    ``left`` are dealt into parts by a hash of the whole row, and its rows of ``right`` (few: stored days of one ticker and one day or
+    month) are copied into each part. Where more than ``most`` keys would be hot, only those above the ``most``-th
+    part of all rows are, so the list of hot keys never outgrows a broadcast. Rows equal in every column may
+    stay together.
+    """
+    counted = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
+    counted = settle(counted, "hot-keys")
+    total = counted.agg(F.sum("_n").alias("n"), F.count("*").alias("k")).first()
+    if not total["k"]:
+        return left, right, keys
+    least = rows if total["k"] <= most else total["n"] // most
+    # at most ``most`` rows
+    hot = F.broadcast(counted.where(F.col("_n") > least).select(*keys, F.ceil(F.col("_n") / least).cast("int").alias("_parts")))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col("_parts")).cast("int")
+    dealt = left.join(hot, keys, "left").withColumn("_part", F.coalesce(spread, F.lit(0))).drop("_parts")
+    parts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+    copied = right.join(hot, keys, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+    return dealt, copied, [*keys, "_part"]
+
+
 def _stored_or_scored(wanted: DataFrame, forecast: DataFrame, score: Score) -> DataFrame:
-    """Rows of ``(request_id, ticker_id, ds)`` with the stored values; the model sees only those without any."""
+    """Rows of ``(request_id, ticker_id, ds)`` with the stored values; the model sees only those without any.
+
+    The three columns of the requests are written once, as they are counted and joined twice; answers are not written.
+    """
     answer = ["request_id", TICKER_ID, "ds", *STORED]
-    stored = forecast.select(TICKER_ID, "ds", *STORED)
-    looked_up = settle(wanted.join(stored, [TICKER_ID, "ds"], "left").select(*answer), "looked-up")
-    missing = looked_up.where(F.col("yhat").isNull()).drop(*STORED)
-    return looked_up.where(F.col("yhat").isNotNull()).unionByName(score(missing).select(*answer))
+    stored = forecast.select(TICKER_ID, "ds", *STORED).where(F.col("yhat").isNotNull())
+    wanted = settle(wanted.select("request_id", TICKER_ID, "ds"), "wanted")
+    dealt, copied, keys = deal_out(wanted, stored, [TICKER_ID, "ds"])
+    hits = dealt.join(copied, keys)
+    missing = dealt.join(copied.select(*keys), keys, "left_anti").drop("_part")
+    return hits.select(*answer).unionByName(score(missing).select(*answer))
 
 
 def next_stored_days(forecast: DataFrame) -> DataFrame:
@@ -120,7 +155,8 @@ def predict_ranges(
 
     span = forecast.groupBy(TICKER_ID).agg(F.min("ds").alias("from_day"), F.max("ds").alias("to_day"))
     from_span = wanted.join(span, TICKER_ID, "left").withColumn("day", F.greatest("first", "from_day"))
-    placed = settle(from_span.join(next_stored_days(forecast), [TICKER_ID, "day"], "left"), "placed-ranges")
+    asked, days, keys = deal_out(from_span, next_stored_days(forecast), [TICKER_ID, "day"])
+    placed = settle(asked.join(days, keys, "left").drop("_part"), "placed-ranges")
     holds_any = F.coalesce(F.col("next_day") <= F.col("last"), F.lit(False))
 
     end = F.least("last", "to_day")
@@ -129,7 +165,8 @@ def predict_ranges(
     stored = forecast.select(TICKER_ID, F.trunc("ds", "month").alias("month"), "ds", *STORED)
     inside = F.col("ds").between(F.col("first"), F.col("last"))
     answer = ["request_id", TICKER_ID, "ds", *STORED]
-    hits = by_month.join(stored, [TICKER_ID, "month"]).where(inside).select(*answer)
+    by_month, stored, keys = deal_out(by_month, stored, [TICKER_ID, "month"])
+    hits = by_month.join(stored, keys).where(inside).select(*answer)
 
     missing = explode_days(placed.where(~holds_any), "first", "last").select("request_id", TICKER_ID, "ds")
     return _answer(hits.unionByName(score(missing).select(*answer)))

@@ -355,15 +355,15 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'range' AS kind, request_id, reason FROM range_checks"""),
     "predict_point": _query(
         _ANSWER.format(
-            rows="""
-            SELECT request_id, c.ticker_id, c.ds, p.yhat, p.yhat_lower, p.yhat_upper, p.trend
-            FROM point_checks c JOIN predicted p ON c.ticker_id = p.ticker_id AND c.ds = p.ds
-            WHERE reason IS NULL
-            UNION ALL"""
-            + _EVALUATED.format(
-                wanted="""SELECT request_id, ticker_id, ds FROM point_checks
-                          ANTI JOIN predicted USING (ticker_id, ds) WHERE reason IS NULL"""
-            )
+            rows=f"""
+            SELECT c.request_id, c.ticker_id, c.ds, coalesce(p.trend, intercept + slope * (c.ds - t0)) AS trend,
+                   coalesce(p.yhat, (intercept + slope * (c.ds - t0)) * factor) AS yhat,
+                   coalesce(p.yhat_lower, (intercept + slope * (c.ds - t0)) * factor - {_LEVEL} * sigma) AS yhat_lower,
+                   coalesce(p.yhat_upper, (intercept + slope * (c.ds - t0)) * factor + {_LEVEL} * sigma) AS yhat_upper
+            FROM point_checks c JOIN line_fit f ON f.ticker_id = c.ticker_id JOIN spread s ON s.ticker_id = c.ticker_id
+            JOIN factors w ON w.ticker_id = c.ticker_id AND w.weekday = dayofweek(c.ds) + 1
+            LEFT JOIN predicted p ON p.ticker_id = c.ticker_id AND p.ds = c.ds
+            WHERE c.reason IS NULL"""
         )
     ),
     "predict_range": _query(_ANSWER.format(rows=f"SELECT * FROM hits UNION ALL {_FALLBACK}")),

@@ -32,7 +32,7 @@ def rows(names: list[str], records) -> Counter:
 
 
 # Spark's type names for DuckDB's
-TYPE_NAMES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date"}
+TYPE_NAMES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date", "BOOLEAN": "boolean"}
 
 
 def schemas(df, con, sql: str) -> tuple[dict, dict]:

@@ -52,25 +52,80 @@ def test_encoding_splits_a_hot_ticker(shuffled):
     assert "skew=true" in final_plan(executed)
 
 
-def test_points_on_one_hot_day(shuffled):
-    spark = shuffled
-    forecast = spark.range(1, 998).select(
-        F.col("id").cast("int").alias("ticker_id"),
-        F.lit("2024-01-01").cast("date").alias("ds"),
-        *[F.col("id").cast("double").alias(c) for c in lookup.STORED],
+def shares(joined) -> tuple[int, float]:
+    """Rows of a shuffled join, and the share of them that its largest task holds."""
+    rows = [r["n"] for r in joined.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()]
+    return sum(rows), max(rows) / sum(rows)
+
+
+@pytest.fixture
+def unsplit(shuffled):
+    """Neither Spark's own splitting of partitions nor their coalescing, so that a task is what the keys make it."""
+    names = ("spark.sql.adaptive.skewJoin.enabled", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {name: shuffled.conf.get(name) for name in names}
+    for name in names:
+        shuffled.conf.set(name, "false")
+    yield shuffled
+    for name, value in before.items():
+        shuffled.conf.set(name, value)
+
+
+def stored_days(spark):
+    return settle(
+        spark.range(1, 998).select(
+            F.col("id").cast("int").alias("ticker_id"),
+            F.lit("2024-01-01").cast("date").alias("ds"),
+            *[F.col("id").cast("double").alias(c) for c in lookup.STORED],
+        ),
+        "forecast",
     )
-    requests = spark.range(0, 200_000, 1, 8).select(
-        F.col("id").alias("request_id"),
-        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 997 + 1).cast("int").alias("ticker_id"),
-        F.lit("2024-01-01").alias("date"),
+
+
+def hot_days(spark):
+    """A third of the requests ask for one day of one ticker, a third of those that have no stored day for another."""
+    hot = F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, 5000).otherwise(F.col("id") % 997 + 1)
+    return spark.range(0, 150_000, 1, 8).select(
+        F.col("id").alias("request_id"), hot.cast("int").alias("ticker_id"), F.lit("2024-01-01").cast("date").alias("ds")
     )
-    known = forecast.select("ticker_id")
+
+
+def test_a_hot_key_is_dealt_over_the_tasks_of_the_join(unsplit):
+    wanted, stored, keys = hot_days(unsplit), stored_days(unsplit), ["ticker_id", "ds"]
+    plain = wanted.join(stored, keys, "left")
+    assert "SortMergeJoin" in plain._jdf.queryExecution().executedPlan().toString()
+    rows, share = shares(plain)
+    assert rows == 150_000 and share > 1 / 3
+    dealt, copied, by = lookup.deal_out(wanted, stored, keys, rows=500)
+    for kind in ("left", "left_anti", "inner"):
+        rows, share = shares(dealt.join(copied.select(*by), by, kind))
+        assert rows == {"left": 150_000, "left_anti": 50_000, "inner": 100_000}[kind] and share < 0.16, kind
+    assert dealt.where("_part > 0").select("ticker_id").distinct().count() == 2
+    # more hot keys than may be listed: only the hottest are dealt
+    few, _, _ = lookup.deal_out(wanted, stored, keys, rows=10, most=3)
+    assert few.where("_part > 0").select("ticker_id").distinct().count() == 1
+    same, _, by = lookup.deal_out(wanted, stored, keys, rows=10**6)
+    assert same is wanted and by == keys
+
+
+def test_a_hot_month_of_ranges_is_dealt_out(unsplit):
+    month = F.lit("2024-01-01").cast("date").alias("month")
+    asked = hot_days(unsplit).select("request_id", "ticker_id", month)
+    stored = stored_days(unsplit).select("ticker_id", month, "ds")
+    dealt, copied, by = lookup.deal_out(asked, stored, ["ticker_id", "month"], rows=500)
+    rows, share = shares(dealt.join(copied, by))
+    assert rows == 100_000 and share < 0.16
+
+
+def test_points_on_hot_days_are_complete(unsplit, monkeypatch):
+    spark = unsplit
+    requests = hot_days(spark).withColumn("date", F.col("ds").cast("string")).drop("ds")
+    known = settle(spark.range(1, 6000).select(F.col("id").cast("int").alias("ticker_id")), "known")
 
     def score(days):
         return days.withColumns({c: F.lit(-1.0) for c in lookup.STORED})
 
-    out = lookup.predict_points(requests, settle(forecast, "forecast"), score, settle(known, "known"))
-    rows = out.toPandas()
-    assert len(rows) == 200_000
-    assert (rows["predicted_price"] == rows["ticker_id"]).all()
-    assert "skew=true" in final_plan(out)
+    monkeypatch.setattr(lookup, "HOT_ROWS", 500)
+    monkeypatch.setattr(lookup.deal_out, "__defaults__", (500, lookup.HOT_KEYS))
+    rows = lookup.predict_points(requests, stored_days(spark), score, known).toPandas()
+    assert len(rows) == 150_000 and rows["request_id"].nunique() == 150_000
+    assert (rows["predicted_price"] == rows["ticker_id"].where(rows["ticker_id"] < 998, -1)).all()
