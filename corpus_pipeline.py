@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import decontamination, pii, quality_classifier, sentencepiece_codec, shingle_dedup
+from quotemill.llm import decontamination, pii, quality_classifier, sentencepiece_codec, simhash_dedup
 from quotemill.llm.common import read_table
 from quotemill.llm.queries import SENTENCE_PIECES, tokenizer_path
 from quotemill.session import settle
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates: 5-word shingles, similarity 0.8."""
-    return shingle_dedup.keep_one(docs)
+    """One document, that of the smallest id, of each group that SimHash links: 3-word shingles, 3 bits at most."""
+    return simhash_dedup.keep_one(docs, radius=3, width=3)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
