@@ -28,6 +28,8 @@ from quotemill.llm.common import arrow_schema, once_per_worker
 from quotemill.llm.units import UnitEncoder, byte_bpe
 
 LEAF = 32
+# units kept by a worker; two workers of a task hold some, one for the trees and one for the edits
+UNITS = 200_000
 EDIT = "array<struct<start: int, stop: int, text: string>>"
 TREE = "chars array<long>, ids array<long>"
 
@@ -168,7 +170,7 @@ def trees(docs: DataFrame, spec: str) -> DataFrame:
     out = arrow_schema(out_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = once_per_worker(("byte_bpe", key), lambda: byte_bpe(shared.value))
+        encoder = once_per_worker(("byte_bpe", key), lambda: byte_bpe(shared.value, limit=UNITS))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
@@ -198,7 +200,7 @@ def apply_edits(grown: DataFrame, spec: str, keep_text: bool = True) -> DataFram
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = once_per_worker(("byte_bpe", key), lambda: byte_bpe(shared.value))
+        encoder = once_per_worker(("byte_bpe", key), lambda: byte_bpe(shared.value, limit=UNITS))
 
         def size(text: str) -> int:
             """Ids of a stretch: its units are mostly known."""

@@ -16,6 +16,7 @@ that character mark where each begins. The cache holds at most ``LIMIT`` units a
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable
 from itertools import chain
@@ -107,6 +108,7 @@ class UnitEncoder:
         new = set(chain.from_iterable(t for t in tails if t)).difference(self.known)
         if new:
             self.learn(list(new))
+            gc.freeze()  # what is kept holds no cycles: do not search it again and again
         out, known = [], self.known.__getitem__
         for n, (text, tail) in enumerate(zip(texts, tails, strict=True)):
             if tail is None:
@@ -122,7 +124,7 @@ class UnitEncoder:
         return out, cuts
 
 
-def byte_bpe(spec: str, marks: bool = False) -> UnitEncoder:
+def byte_bpe(spec: str, marks: bool = False, limit: int = LIMIT) -> UnitEncoder:
     """From the JSON of a byte-level BPE tokenizer; special strings in a text are ordinary text."""
     from tokenizers import Tokenizer
 
@@ -134,4 +136,4 @@ def byte_bpe(spec: str, marks: bool = False) -> UnitEncoder:
         opens[lead] = np.zeros(max(vocabulary.values()) + 1, bool)
         opens[lead][[i for piece, i in vocabulary.items() if piece.startswith(sign)]] = True
     encode = lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-    return UnitEncoder(encode, opens, marks=marks, odd=lambda text: marks and MARK in text)
+    return UnitEncoder(encode, opens, marks=marks, odd=lambda text: marks and MARK in text, limit=limit)

@@ -1,49 +1,22 @@
-"""The near-duplicate stage: rows decided by their own text, groups against brute force on shingles."""
+"""The near-duplicate stage: rows decided by their own text, groups against brute force on fingerprints."""
 
 from __future__ import annotations
 
 import random
 
-import pytest
-
 import corpus_pipeline
-from quotemill.llm import shingle_dedup, simhash_dedup
+from quotemill.llm import simhash_dedup
 from quotemill.llm.common import read_table
+from tests.llm.test_corpus_operators import groups, slow_fingerprint
 
 SCHEMA = "doc_id long, text string, won_id string, tags map<string, string>"
 
 
-def shingles(text):
-    words = (text or "").encode().lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def first_of_groups(docs, similar=0.8):
-    """The smallest id of each group of documents that are linked by similarity."""
-    ids = sorted(docs)
-    sets = {i: shingles(docs[i]) for i in ids}
-    root = {i: i for i in ids}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for at, i in enumerate(ids):
-        for j in ids[at + 1 :]:
-            a, b = sets[i], sets[j]
-            if a == b or len(a & b) >= similar * len(a | b):
-                low, high = sorted((find(i), find(j)))
-                root[high] = low
-    return sorted({find(i) for i in ids})
-
-
 def words(rng, n):
     return ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("keep", [simhash_dedup.keep_one, shingle_dedup.keep_one])
-def test_rows_are_decided_by_their_own_text(spark, keep):
+def test_rows_are_decided_by_their_own_text(spark):
     rng = random.Random(3)
     texts = [" ".join(words(rng, 80)) for _ in range(6)]
     rows = [
@@ -59,27 +32,31 @@ def test_rows_are_decided_by_their_own_text(spark, keep):
         (8, texts[5], "y", None),
     ]
     docs = spark.createDataFrame(rows, SCHEMA)
-    kept = keep(docs)
+    kept = simhash_dedup.keep_one(docs)
     assert kept.columns == docs.columns
     found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
     assert found == sorted([(5, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5])], key=str)
 
 
-def test_stage_against_all_pairs_of_shingle_sets(spark):
+def first_of_groups(docs: dict) -> list[int]:
+    ids = sorted(docs)
+    return sorted(set(groups(ids, [slow_fingerprint(docs[i]) for i in ids])))
+
+
+def test_stage_against_all_pairs_of_fingerprints(spark):
     rng = random.Random(11)
-    passage, docs = words(rng, 60), {}
+    docs = {}
     for family in range(12):
         base = words(rng, rng.randint(20, 200))
         for n in range(25):
             text = list(base)
             for _ in range(rng.randint(0, max(1, len(base) // 25))):
                 text[rng.randrange(len(text))] = words(rng, 1)[0]
-            # a passage that all have raises similarity below the bound
-            docs[family * 100 + n] = " ".join(text if n % 5 else [*text, *passage])
+            docs[family * 100 + n] = " ".join(text)
     docs |= {5000: "", 5001: " \n", 5002: "one two three", 5003: "One two  three", 5004: "one two four", 5005: None}
     table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     expected = first_of_groups(docs)
-    assert 30 < len(expected) < 250
+    assert 12 < len(expected) < len(docs)
     found = corpus_pipeline.near_dedup(spark, table, "")
     assert sorted(r["doc_id"] for r in found.collect()) == expected
 
