@@ -4,11 +4,12 @@
    among them, with a mark wherever a piece ends.
 2. Words are summed over the blocks. Only words that reach ``least`` get an id: a phrase is never commoner than
    its words. The ids go back to the blocks that hold the word, by an equi-join of a row per block and word.
-3. Each phrase of 2 to 4 such words is its ids packed into one number of ``4 * bits`` bits. An invertible permutation (a
-   Feistel network of the two halves) spreads these numbers evenly; the upper bits are the quotient, the rest the
-   remainder, kept in full, so that counts are exact and the phrase can be read back. A filter is sorted by quotient and
-   remainder, and counts below 255 take a byte. A task merges the filters of its blocks and sends a row for
-   each quotient, however often a phrase occurs there.
+3. Each phrase of such words is its ids packed into one number: pairs in ``2 * bits`` bits, three and four words in ``4 * bits``.
+   An invertible permutation (a Feistel network of the two halves) spreads these numbers evenly; the upper bits are the
+   quotient, the rest the remainder, kept in full, so that counts are exact and the phrase can be read back. A
+   filter is sorted by quotient and remainder, and counts below 255 take a byte. A task merges the filters of its blocks and
+   sends a row for each quotient, however often a phrase occurs there. Pairs are counted first; three and four words only
+   where every pair passes a bit map of the frequent ones, whose size is fixed and which holds none of them back.
 4. The filters of all tasks are merged quotient by quotient. Their number follows the corpus (``RUN`` entries each, as the
    permutation deals phrases out evenly), so that no group grows with the input.
 5. Cuts, containment in longer phrases, words and ranks are joins and a window with a limit.
@@ -35,9 +36,12 @@ LEAST = 30
 LONGEST = 4
 TOP = 2000
 INSIDE = 80
-BLOCK = 300_000
+BLOCK = 500_000
 RUN = 1 << 17
 PENDING = 1 << 20
+# bits of the map of frequent pairs, whatever their number
+MAP = 26
+CHUNK = 18
 
 ENDS = b".,;:!?\n\x0b\x0c\r"
 TO_MARK = bytes.maketrans(ENDS, b"." * len(ENDS))
@@ -171,21 +175,25 @@ def widen(raw: bytes, width: int) -> np.ndarray:
 
 
 class Layout:
-    """How a packed phrase is split: ``bits`` of an id, ``quotient`` bits of the upper half."""
+    """How a packed phrase is split: ``bits`` of an id, ``width`` ids a half, ``quotient`` bits of the upper half."""
 
-    def __init__(self, bits: int, quotient: int):
-        self.bits, self.half = bits, 2 * bits
+    def __init__(self, bits: int, width: int, quotient: int):
+        self.bits, self.width, self.half = bits, width, width * bits
         self.quotient = min(quotient, self.half - 1)
         self.rest = self.half - self.quotient
         self.upper_bytes, self.lower_bytes = (self.rest + 7) // 8, (self.half + 7) // 8
 
     def pack(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``ids``: four rows, zeros where a phrase has no word."""
+        """``ids``: twice ``width`` rows, zeros where a phrase has no word."""
         shift = np.uint64(self.bits)
-        return permute(ids[0] << shift | ids[1], ids[2] << shift | ids[3], self.half)
+        halves = ids if self.width == 1 else (ids[0] << shift | ids[1], ids[2] << shift | ids[3])
+        return permute(halves[0], halves[1], self.half)
 
     def unpack(self, upper: np.ndarray, lower: np.ndarray) -> list[np.ndarray]:
+        """All four ids."""
         upper, lower = restore(upper, lower, self.half)
+        if self.width == 1:
+            return [upper, lower, *[np.zeros(len(upper), np.uint64)] * 2]
         shift, mask = np.uint64(self.bits), np.uint64((1 << self.bits) - 1)
         return [upper >> shift, upper & mask, lower >> shift, lower & mask]
 
@@ -211,19 +219,53 @@ class Layout:
         return widen(upper, self.upper_bytes) | high, widen(lower, self.lower_bytes), n
 
 
-def phrases_of(ids: np.ndarray) -> np.ndarray:
-    """All runs of 2 to 4 words of a sequence of ids, where 0 is none: a column each."""
-    found, here = [], ids[:-1].astype(bool) & ids[1:].astype(bool)
-    for n in range(2, LONGEST + 1):
+def map_place(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where a pair of ids stands in the map of frequent pairs."""
+    return (permute(first, second, 32)[0] >> np.uint64(32 - MAP)).astype(np.int64)
+
+
+def phrases_of(ids: np.ndarray, width: int, frequent: np.ndarray | None = None) -> np.ndarray:
+    """Runs of words of a sequence of ids, where 0 is none, a column each: pairs, or with ``width`` 2 three and four words
+    all of whose pairs are in the map ``frequent``."""
+    here = ids[:-1].astype(bool) & ids[1:].astype(bool)
+    if width == 1:
         at = np.flatnonzero(here)
-        rows = [ids[at + k] if k < n else np.zeros(len(at), np.uint64) for k in range(LONGEST)]
+        return np.array([ids[at], ids[at + 1]], np.uint64).reshape(2, -1)
+    at = np.flatnonzero(here)
+    place = map_place(ids[at], ids[at + 1])
+    here[at] = frequent[place >> 3] >> (place & 7).astype(np.uint8) & 1
+    found = []
+    for n in range(3, LONGEST + 1):
+        # a phrase of n words holds n - 1 pairs
+        start = np.flatnonzero(np.logical_and.reduce([here[k : len(here) - n + 2 + k] for k in range(n - 1)]))
+        rows = [ids[start + k] if k < n else np.zeros(len(start), np.uint64) for k in range(LONGEST)]
         found.append(np.array(rows, np.uint64).reshape(LONGEST, -1))
-        here = here[:-1] & here[1:]
     return np.concatenate(found, axis=1)
 
 
-def block_filters(numbered: DataFrame, layout: Layout, pending: int = PENDING) -> DataFrame:
-    """``numbered(places, at, ids)`` to rows of ``FILTERS``; a task merges what its blocks hold before it sends."""
+def number_words(blocks: DataFrame, words: DataFrame) -> DataFrame:
+    """``ids binary``: the texts of a block as ids, 0 for a rarer word and the end of a piece."""
+    pairs = blocks.select("block", "lang", F.posexplode("words").alias("at", "word"))
+    own = pairs.join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "at", "id")
+    back = own.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("x"))
+    back = back.select("block", F.col("x.at").alias("at"), F.col("x.id").alias("ids"))
+    out = arrow_schema("ids binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                places = np.frombuffer(batch.column(0)[n].as_py(), "<u4")
+                at, ids = (batch.column(k)[n].values.to_numpy(zero_copy_only=False) for k in (1, 2))
+                table = np.zeros(int(places.max(initial=0)) + 1, np.uint32)
+                # places of the words in the array count from 0, those in the texts from 1
+                table[at.astype(np.int64) + 1] = ids
+                yield pa.RecordBatch.from_arrays([pa.array([table[places].astype("<u4").tobytes()], out[0].type)], schema=out)
+
+    return blocks.select("block", "places").join(back, "block").select("places", "at", "ids").mapInArrow(run, "ids binary")
+
+
+def block_filters(numbered: DataFrame, layout: Layout, frequent=None, pending: int = PENDING) -> DataFrame:
+    """``numbered(ids)`` to rows of ``FILTERS``; a task merges what its blocks hold before it sends."""
     out = arrow_schema(FILTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,15 +279,11 @@ def block_filters(numbered: DataFrame, layout: Layout, pending: int = PENDING) -
             if table:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(table, out, strict=True)], schema=out)
 
+        known = frequent and np.frombuffer(frequent.value, np.uint8)
         for batch in batches:
             for n in range(batch.num_rows):
-                places = np.frombuffer(batch.column(0)[n].as_py(), "<u4")
-                table = np.zeros(int(places.max(initial=0)) + 1, np.uint64)
-                # places of the words in the array count from 0, those in the texts from 1
-                table[batch.column(1)[n].values.to_numpy(zero_copy_only=False).astype(np.int64) + 1] = batch.column(2)[
-                    n
-                ].values.to_numpy(zero_copy_only=False)
-                packed = layout.pack(phrases_of(table[places]))
+                ids = np.frombuffer(batch.column(0)[n].as_py(), "<u4").astype(np.uint64)
+                packed = layout.pack(phrases_of(ids, layout.width, known))
                 held.append(summed(*packed, np.ones(len(packed[0]), np.int64), layout.half))
                 size += len(held[-1][0])
                 if size >= pending:
@@ -257,7 +295,7 @@ def block_filters(numbered: DataFrame, layout: Layout, pending: int = PENDING) -
         if held:
             yield from rows()
 
-    return numbered.select("places", "at", "ids").mapInArrow(run, FILTERS)
+    return numbered.mapInArrow(run, FILTERS)
 
 
 def merge_filters(filters: DataFrame, layout: Layout, least: int = LEAST) -> DataFrame:
@@ -274,19 +312,49 @@ def merge_filters(filters: DataFrame, layout: Layout, least: int = LEAST) -> Dat
     return filters.groupBy("quotient").applyInArrow(run, PHRASES)
 
 
+def pair_map(pairs: DataFrame) -> bytes:
+    """A map of the frequent pairs, ``2 ** MAP`` bits at any size: it may let a rarer pair through, never hold a frequent one back."""
+    schema = "chunk int, bits binary"
+    out = arrow_schema(schema)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << MAP - 3, np.uint8)
+        for batch in batches:
+            place = map_place(*(c.to_numpy(zero_copy_only=False).astype(np.uint64) for c in batch.columns))
+            np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
+        chunks = bits.reshape(-1, 1 << CHUNK - 3)
+        used = np.flatnonzero(chunks.any(1))
+        columns = [used, [chunks[k].tobytes() for k in used]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    def joined(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(b, np.uint8) for b in table["bits"].to_pylist()]
+        return pa.table([table["chunk"][:1], pa.array([np.bitwise_or.reduce(rows).tobytes()], out[1].type)], schema=out)
+
+    total = np.zeros((1 << MAP - CHUNK, 1 << CHUNK - 3), np.uint8)
+    parts = pairs.select("w1", "w2").mapInArrow(local, schema).groupBy("chunk").applyInArrow(joined, schema)
+    for row in parts.collect():  # 2 ** (MAP - CHUNK) rows at most
+        total[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
+    return total.tobytes()
+
+
 def frequent_phrases(blocks: DataFrame, words: DataFrame, least: int = LEAST, run: int = RUN) -> DataFrame:
-    """Exact counts of all phrases of 2 to 4 words that reach ``least``."""
+    """Exact counts of all phrases of 2 to 4 words that reach ``least``: pairs first, then what only frequent pairs make up."""
+    spark = blocks.sparkSession
     bounds = words.agg(F.max("id").alias("most"), F.sum("f").alias("n")).first()
     if bounds["most"] is None:
-        return blocks.sparkSession.createDataFrame([], PHRASES)
-    entries = (LONGEST - 1) * bounds["n"]
-    layout = Layout(int(bounds["most"]).bit_length(), max(4, (entries // run).bit_length()))
-    pairs = blocks.select("block", "lang", F.posexplode("words").alias("at", "word"))
-    own = pairs.join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "at", "id")
-    back = own.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("x"))
-    back = back.select("block", F.col("x.at").alias("at"), F.col("x.id").alias("ids"))
-    filters = block_filters(blocks.select("block", "places").join(back, "block"), layout)
-    return settle(merge_filters(filters, layout, least), "phrases")
+        return spark.createDataFrame([], PHRASES)
+    bits = int(bounds["most"]).bit_length()
+    numbered = settle(number_words(blocks, words), "numbered-blocks")
+    layout = Layout(bits, 1, max(4, (bounds["n"] // run).bit_length()))
+    pairs = settle(merge_filters(block_filters(numbered, layout), layout, least), "pairs")
+    often = pairs.agg(F.sum("f").alias("n")).first()["n"]
+    if often is None:
+        return pairs
+    layout = Layout(bits, 2, max(4, (2 * often // run).bit_length()))
+    frequent = spark.sparkContext.broadcast(pair_map(pairs))
+    longer = settle(merge_filters(block_filters(numbered, layout, frequent), layout, least), "phrases")
+    return pairs.unionAll(longer)
 
 
 # ------------------------------------------------------------------ scores

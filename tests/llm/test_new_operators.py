@@ -168,19 +168,30 @@ def test_collocations_against_counting(spark):
 
 
 @pytest.mark.parametrize("bits", [1, 3, 16, 17, 32])
-def test_filters_are_lossless(bits):
+@pytest.mark.parametrize("width", [1, 2])
+def test_filters_are_lossless(bits, width):
     rng = np.random.default_rng(bits)
-    ids = rng.integers(0, 1 << bits, (4, 3000)).astype(np.uint64)
+    ids = rng.integers(0, 1 << bits, (2 * width, 3000)).astype(np.uint64)
     ids = np.concatenate((ids, ids[:, :1000], np.repeat(ids[:, :1], 400, axis=1)), axis=1)
-    layout = collocations.Layout(bits, 4)
+    layout = collocations.Layout(bits, width, 4)
     filtered = collocations.summed(*layout.pack(ids), np.ones(ids.shape[1], np.int64), layout.half)
     rows = list(layout.write(*filtered))
     upper, lower, n = (np.concatenate(x) for x in zip(*(layout.read(*r) for r in rows), strict=True))
-    found = Counter({tuple(map(int, p)): int(c) for p, c in zip(np.array(layout.unpack(upper, lower)).T, n, strict=True)})
-    assert found == Counter(tuple(map(int, p)) for p in ids.T)
+    found = {tuple(map(int, p)): int(c) for p, c in zip(np.array(layout.unpack(upper, lower)).T, n, strict=True)}
+    whole = np.concatenate((ids, np.zeros((4 - 2 * width, ids.shape[1]), np.uint64)))
+    assert found == Counter(tuple(map(int, p)) for p in whole.T)
     assert max(n) >= 400 and len(rows) == len({r[0] for r in rows})
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 9])
+def test_phrases_of_short_sequences(n):
+    ids = np.arange(1, n + 1, dtype=np.uint64)
+    every = np.full(1 << collocations.MAP - 3, 255, np.uint8)
+    assert collocations.phrases_of(ids, 1).shape == (2, max(0, n - 1))
+    assert collocations.phrases_of(ids, 2, every).shape == (4, max(0, n - 2) + max(0, n - 3))
+    assert collocations.phrases_of(ids, 2, every * 0).shape == (4, 0)
+
+
 def test_products_beyond_64_bits(spark):
     big = 1 << 61
     phrases = spark.createDataFrame([(1, 2, 0, 0, big), (1, 2, 3, 0, big // 5 * 4)], collocations.PHRASES)
