@@ -7,12 +7,13 @@ document is the mean over its tokens, with a few ratios of its token counts. A n
 gives a logit, divided by a temperature that makes the probabilities right on rows not used for the weights.
 
 The model is fitted on a bounded sample: at most ``SAMPLE_ROWS`` labelled rows, the first by a hash of their
-id, and of each at most ``SAMPLE_CHARS`` characters. Scoring reads every text whole. Only the text is an input.
+id. Their whole texts are counted and summed in Spark tasks: the ``WORDS`` commonest words get vectors, context sums combine in
+a task and then by word, and a row of features for each text reaches the driver. Only the text is an input.
 
 * rows held out: crc32 of the id as text, modulo 4, is 2 (not held out where the id is null); * null or empty
 text: no tokens, score 0; * labels that are null, neither 0 nor 1, or of no document: left out; several labels of
-a document: the largest; * no usable labels: every text with tokens scores 0.5, with one class only it scores the
-share of that class; * repeated rows: each gets a row; * empty documents: empty result.
+a document: the largest; * several texts of a document: the least in byte order is learned from, each is scored; * no usable
+labels: every text with tokens scores 0.5, with one class only it scores the share of that class; * repeated rows: each gets a row; * empty documents: empty result.
 """
 
 from __future__ import annotations
@@ -20,18 +21,23 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import filter_batches, map_batches
+from quotemill.llm.common import arrow_schema, filter_batches, map_batches
+from quotemill.session import settle
 
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 6000
+WORDS = 50_000
+PARTS = 32
+STRETCH = 200_000
 SIZE = 64
 NONZERO = 4
 HIDDEN = 24
@@ -68,28 +74,32 @@ def index_sum(words: list[str], weights: np.ndarray) -> np.ndarray:
     return np.bincount(places.ravel(), (signs * weights[:, None]).ravel(), SIZE) / np.sqrt(NONZERO)
 
 
-def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Vectors of the words that occur ``LEAST`` times or more, each of length one."""
-    cut = [[t.lower() for t in tokens(text)] for text in texts]
-    counts = Counter(t for doc in cut for t in doc)
-    known = {w: i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= LEAST))}
-    if not known:
-        return {}, np.zeros((0, SIZE), np.float32)
+def context_sums(texts: list[str], known: dict[str, int]) -> np.ndarray:
+    """Sums of the neighbours' index vectors of each known word; whole numbers, so that they add up the same in any order."""
     places, signs = index_places(list(known))
-    own = np.zeros((len(known) + 1, SIZE), np.float32)  # the last row: a word that is not known
+    own = np.zeros((len(known) + 1, SIZE), np.float64)  # the last row: a word that is not known
     np.add.at(own, (np.arange(len(known))[:, None], places), signs)
-    total = own[:-1].astype(np.float64)
-    for at in range(0, len(cut), 200):
-        flat = np.array([known.get(t, len(known)) for doc in cut[at : at + 200] for t in [*doc, *[""] * WINDOW]], np.int64)
-        order = np.argsort(flat, kind="stable")
-        starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    total = np.zeros((len(known), SIZE), np.float64)
+    gap = [len(known)] * WINDOW
+    flat: list[int] = []
+
+    def add():
+        row = np.array(flat, np.int64)
+        order = np.argsort(row, kind="stable")
+        starts = np.flatnonzero(np.diff(row[order], prepend=-1))
+        ids = row[order][starts]
         for shift in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
-            near = own[np.roll(flat, -shift)]
-            sums = np.add.reduceat(near[order], starts, axis=0)
-            ids = flat[order][starts]
+            sums = np.add.reduceat(own[np.roll(row, -shift)][order], starts, axis=0)
             total[ids[ids < len(known)]] += sums[ids < len(known)]
-    total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
-    return known, total.astype(np.float32)
+        flat.clear()
+
+    for text in texts:
+        flat += [known.get(t.lower(), len(known)) for t in tokens(text)] + gap
+        if len(flat) >= STRETCH:
+            add()
+    if flat:
+        add()
+    return total
 
 
 def features(text: str, known: dict[str, int], vectors: np.ndarray) -> np.ndarray | None:
@@ -154,10 +164,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def train(texts: list[str], labels: np.ndarray, calibrate: np.ndarray, seed: int = 7, rounds: int = 400) -> Model:
-    """Weights from the rows outside ``calibrate``, the temperature from those inside."""
-    known, vectors = word_vectors([t for t, c in zip(texts, calibrate, strict=True) if not c])
-    x = np.array([features(t, known, vectors) for t in texts])
+def train(
+    x: np.ndarray, labels: np.ndarray, calibrate: np.ndarray, known: dict[str, int], vectors: np.ndarray, seed: int = 7, rounds: int = 400
+) -> Model:
+    """Weights from the rows of features outside ``calibrate``, the temperature from those inside."""
     fit = ~calibrate
     y, own = labels.astype(np.float64), x[fit]
     mean, spread = own.mean(0), own.std(0) + 1e-3
@@ -190,29 +200,92 @@ def train(texts: list[str], labels: np.ndarray, calibrate: np.ndarray, seed: int
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """The model from a bounded sample of labelled rows that are not held out."""
-    marks = labels.filter("quality in (0, 1)").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("label_quality"))
+def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """``(doc_id, quality, calibrate, text)`` of at most ``rows`` labelled rows that are not held out, with whole texts."""
+    marks = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).filter(~held_out())
     texts = docs.select("doc_id", "text").filter(~held_out() & F.col("text").rlike("\\S"))
-    order = F.xxhash64(F.col("doc_id").cast("string"))
     # the rows first, by their ids alone, then the texts of those
-    chosen = marks.withColumnRenamed("label_id", "doc_id").filter(~held_out()).orderBy(order, "doc_id").limit(rows)
-    sample = (
-        texts.join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", F.substring("text", 1, chars).alias("text"), "label_quality")
-        .dropDuplicates(["doc_id"])
-        .orderBy("doc_id")
-        .limit(rows)
-        .collect()
-    )
-    sample = [r for r in sample if tokens(r["text"])]
-    found = np.array([r["label_quality"] for r in sample], np.int64)
+    chosen = marks.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows)
+    calibrate = F.crc32(F.col("doc_id").cast("string")) % 4 == 3
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    return settle(found.select("doc_id", "quality", calibrate.alias("calibrate"), "text"), "quality-sample")
+
+
+def common_words(texts: DataFrame) -> dict[str, int]:
+    """The ``WORDS`` commonest of the words that occur ``LEAST`` times or more, by their letters where equal."""
+
+    def setup():
+        def work(rows):
+            counts = Counter(t.lower() for text in rows for t in tokens(text))
+            return list(counts), list(counts.values())
+
+        return work
+
+    counted = map_batches(texts, setup, "word string, n long", rows=64).groupBy("word").agg(F.sum("n").alias("n"))
+    rows = counted.filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    return {w: i for i, w in enumerate(sorted(r["word"] for r in rows))}
+
+
+def word_vectors(texts: DataFrame, known: dict[str, int]) -> np.ndarray:
+    """A vector of length one for each known word: its own index vector and those of its neighbours over all ``texts``."""
+    if not known:
+        return np.zeros((0, SIZE), np.float32)
+    schema = "part int, place int, sums binary"
+    shared, out = texts.sparkSession.sparkContext.broadcast(known), arrow_schema(schema)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        total = np.zeros((len(words), SIZE))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                total += context_sums(batch.column(0).slice(at, 64).to_pylist(), words)
+        used = np.flatnonzero(total.any(1))
+        columns = [used % PARTS, used, [total[k].tobytes() for k in used]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    def joined(table: pa.Table) -> pa.Table:
+        place, row = np.unique(table["place"].to_numpy(), return_inverse=True)
+        sums = np.zeros((len(place), SIZE))
+        np.add.at(sums, row, np.frombuffer(b"".join(table["sums"].to_pylist())).reshape(-1, SIZE))
+        columns = [place % PARTS, place, [x.tobytes() for x in sums]]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    places, signs = index_places(list(known))
+    total = np.zeros((len(known), SIZE))
+    np.add.at(total, (np.arange(len(known))[:, None], places), signs)
+    # a row for each known word
+    for row in texts.mapInArrow(local, schema).groupBy("part").applyInArrow(joined, schema).collect():
+        total[row["place"]] += np.frombuffer(row["sums"])
+    total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
+    return total.astype(np.float32)
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+    """The model from a bounded sample of labelled rows; texts stay in Spark, what comes back are words, vectors and features."""
+    drawn = sample(docs, labels, rows)
+    own = drawn.filter("not calibrate").select("text")
+    known = common_words(own)
+    vectors = word_vectors(own, known)
+    shared = docs.sparkSession.sparkContext.broadcast((known, vectors))
+
+    def setup():
+        def work(ids, qualities, calibrates, texts):
+            made = [features(t, *shared.value) for t in texts]
+            kept = [i for i, m in enumerate(made) if m is not None]
+            return [[column[i] for i in kept] for column in (ids, qualities, calibrates, made)]
+
+        return work
+
+    columns = drawn.select(F.col("doc_id").cast("string").alias("name"), "quality", "calibrate", "text")
+    table = map_batches(columns, setup, "name string, quality int, calibrate boolean, x array<double>", rows=64)
+    table = table.orderBy("name").collect()
+    found = np.array([r["quality"] for r in table], np.int64)
     if len(set(found.tolist())) < 2:
         return Model({}, np.zeros((0, SIZE), np.float32), *[np.zeros(0)] * 5, 0.0, 1.0, float(found.mean()) if len(found) else 0.5)
-    calibrate = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 4 == 3 for r in sample])
+    calibrate = np.array([r["calibrate"] for r in table])
     if len(set(found[~calibrate].tolist())) < 2:
         calibrate[:] = False
-    return train([r["text"] for r in sample], found, calibrate)
+    return train(np.array([r["x"] for r in table]), found, calibrate, known, vectors)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -165,6 +165,41 @@ def test_classifier_without_labels(spark, small):
     assert {r["score"] for r in quality_classifier.query(docs, labels.filter("quality = 1")).collect()} == {1.0}
 
 
+def test_word_vectors_against_neighbours_one_by_one(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["aa", "bb", "Cc", "dd", "!", "once"] + [f"u{i}"]) for _ in range(rng.randint(0, 60))) for i in range(40)]
+    texts.append("aa bb " * 300)
+    table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    known = quality_classifier.common_words(table)
+    counts = Counter(t.lower() for text in texts for t in quality_classifier.tokens(text))
+    assert known == {w: i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= quality_classifier.LEAST))}
+    index = {w: np.zeros(quality_classifier.SIZE) for w in known}
+    for w, places, signs in zip(index, *quality_classifier.index_places(list(known)), strict=True):
+        for place, sign in zip(places, signs, strict=True):
+            index[w][place] += sign
+    expected = {w: v.copy() for w, v in index.items()}
+    for text in texts:
+        row = [t.lower() for t in quality_classifier.tokens(text)]
+        for i, w in enumerate(row):
+            for j in range(max(0, i - quality_classifier.WINDOW), min(len(row), i + quality_classifier.WINDOW + 1)):
+                if j != i and w in known and row[j] in known:
+                    expected[w] += index[row[j]]
+    found = quality_classifier.word_vectors(table, known)
+    for w, i in known.items():
+        assert np.allclose(found[i], expected[w] / max(np.linalg.norm(expected[w]), 1e-12), atol=1e-6)
+
+
+def test_classifier_learns_from_whole_texts_and_one_text_of_an_id(spark):
+    filler = " ".join(f"f{i % 50}" for i in range(3000))
+    rows = [(i, f"{filler} {'good' if i % 2 else 'bad'} end") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    docs = spark.createDataFrame([*rows, (1, "another text"), (1, rows[1][1])], "doc_id long, text string")
+    drawn = {r["doc_id"]: r["text"] for r in quality_classifier.sample(docs, labels, 4000).collect()}
+    assert drawn[1] == "another text" and all(drawn[i] == text for i, text in rows if i in drawn and i != 1)
+    scored = quality_classifier.query(docs.filter("text <> 'another text'"), labels).toPandas()
+    assert ((scored.score >= 0.5) == (scored.doc_id % 2 == 1)).mean() > 0.95
+
+
 def page(n, body, title="T"):
     return (
         f"<html><head><title>{title}</title><style>p{{}}</style><script>var a='<p>no</p>'</script></head><body>"
