@@ -34,7 +34,7 @@ class ModelSpec:
     weekly_order: int = 3
     yearly_order: int = 10
     tolerance: float = 1e-9
-    # a ticker that needs more is stored with ``converged`` false
+    # a ticker that needs more is stored with ``converged`` false, counted in the run, and not served
     most_passes: int = 2000
 
     @property

@@ -2,7 +2,7 @@
 
 ``score`` is the scoring function of the model, bound to its coefficients: it appends
 ``trend, yhat, yhat_lower, yhat_upper`` to rows of ``(ticker_id, ds, …)``. ``known`` holds the
-ids that have a model.
+ids that have a model; a column ``converged`` there tells whose fit ended at its optimum, and the others are not served.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ Score = Callable[[DataFrame], DataFrame]
 BAD_DATE = "bad date"
 REVERSED = "start after end"
 NO_MODEL = "model not loaded"
+NOT_CONVERGED = "model not converged"
 
 STORED = ["yhat", "yhat_lower", "yhat_upper", "trend"]
 
@@ -30,13 +31,18 @@ HOT_KEYS = 50_000
 
 
 def _with_model_flag(requests: DataFrame, known: DataFrame) -> DataFrame:
-    flags = known.select(TICKER_ID, F.lit(True).alias("_known"))
-    return requests.join(flags, TICKER_ID, "left")
+    """``_known``: null without a model, false for one whose fit did not converge."""
+    flag = F.coalesce("converged", F.lit(False)) if "converged" in known.columns else F.lit(True)
+    return requests.join(known.select(TICKER_ID, flag.alias("_known")), TICKER_ID, "left")
+
+
+def _unserved() -> Column:
+    return F.when(F.col("_known").isNull(), NO_MODEL).when(~F.col("_known"), NOT_CONVERGED)
 
 
 def check_points(requests: DataFrame, known: DataFrame) -> DataFrame:
     """Requests with the parsed day and the reason of rejection, null when accepted."""
-    reason = F.when(F.col("_known").isNull(), NO_MODEL).when(F.col("ds").isNull(), BAD_DATE)
+    reason = _unserved().when(F.col("ds").isNull(), BAD_DATE)
     return (
         _with_model_flag(requests, known)
         .withColumn("ds", F.col("date").try_cast("date"))
@@ -48,7 +54,7 @@ def check_points(requests: DataFrame, known: DataFrame) -> DataFrame:
 def check_ranges(requests: DataFrame, known: DataFrame) -> DataFrame:
     """Requests with the parsed ends and the reason of rejection, null when accepted."""
     reason = (
-        F.when(F.col("_known").isNull(), NO_MODEL)
+        _unserved()
         .when(F.col("first").isNull() | F.col("last").isNull(), BAD_DATE)
         .when(F.col("first") > F.col("last"), REVERSED)
     )

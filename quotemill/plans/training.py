@@ -48,6 +48,12 @@ def metrics(series: DataFrame, coefficients: DataFrame, model: Model) -> DataFra
     return error_metrics(model.score(series, coefficients))
 
 
+def fit_report(coefficients: DataFrame) -> DataFrame:
+    """Tickers with a model, and how many of them did not converge and are therefore not served: one row."""
+    ended = F.coalesce("converged", F.lit(False)) if "converged" in coefficients.columns else F.lit(True)
+    return coefficients.agg(F.count("*").alias("tickers"), F.count_if(~ended).alias("not_converged"))
+
+
 def train_all(
     cleaned: DataFrame,
     root: str,
@@ -58,7 +64,7 @@ def train_all(
 ) -> Run:
     """Fit, forecast, measure and store all tickers, or only the most common one.
 
-    The run also holds ``series_range`` (days and dates per ticker) and the tables behind the plots:
+    The run also holds ``series_range`` (days and dates per ticker), ``fit_report`` (how many fits converged) and the tables behind the plots:
     ``actual_vs_predicted``, ``profiles``, ``histogram``, ``density``. ``run_ts`` defaults to the time of the call.
     """
     spark: SparkSession = cleaned.sparkSession
@@ -79,6 +85,7 @@ def train_all(
         model=model.name,
         tables={
             "series_range": series_range(series),
+            "fit_report": fit_report(coefficients),
             "actual_vs_predicted": actual_vs_predicted(predicted, series),
             "profiles": model.profiles(coefficients),
             "histogram": histogram(predicted, ranges),

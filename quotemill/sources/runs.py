@@ -6,7 +6,7 @@
     <root>/metrics/run_ts=<version>/        JSON
     <root>/<table>/run_ts=<version>/        Parquet, any further tables of the run
     <root>/model/run_ts=<version>/          name of the model, one line of text
-    <root>/latest/                          one line of text per swap: a version and the number of the swap
+    <root>/latest/swap-<number>.txt         one line of text per swap: a version and the number of the swap
 
 The pointer is written last and only ever appended to; the line of the largest number holds. Readers follow it, so that
 an unfinished run is never seen, and there is no moment without a pointer.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
@@ -87,11 +88,33 @@ def _pointer(spark: SparkSession, root: str) -> Row | None:
     return named.agg(F.max(F.struct("swap", "run_ts")).alias("last")).first()["last"]
 
 
-def point_to(spark: SparkSession, root: str, run_ts: str) -> None:
-    """Make ``run_ts`` the current version; an older one goes back to it."""
+def _create(spark: SparkSession, path: str, line: str) -> bool:
+    """Write a new file, unless one of that name is there."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = system.create(place, False)
+    except Py4JJavaError as problem:
+        if system.exists(place):
+            return False
+        raise problem
+    out.write(bytearray(line.encode()))
+    out.close()
+    return True
+
+
+def point_to(spark: SparkSession, root: str, run_ts: str) -> int:
+    """Make ``run_ts`` the current version; an older one goes back to it. Returns the number of the swap.
+
+    A swap is a file named by its number, created only if there is none: of two writers that take the same number at
+    once, one gets it and the other takes the next.
+    """
     last = _pointer(spark, root)
     swap = last["swap"] + 1 if last else 1
-    _write_line(spark, f"{run_ts}\t{swap}", f"{root}/latest", "append")
+    while not _create(spark, f"{root}/latest/swap-{swap:012d}.txt", f"{run_ts}\t{swap}\n"):
+        swap += 1
+    return swap
 
 
 def latest_run(spark: SparkSession, root: str) -> str:

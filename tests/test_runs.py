@@ -221,3 +221,33 @@ def test_entry_and_catalog(spark, small):
 @pytest.mark.parametrize("name", ["score", "forecast_decomposable", "forecast_interval", "components", "train_all"])
 def test_queries_without_twin_run(spark, small, name):
     assert catalog.QUERIES[name](spark, small).count() > 0
+
+
+def test_writers_at_once_get_a_number_each(spark, tmp_path):
+    """Eight swaps at a time: none takes another's number, and the largest one holds."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "models")
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda k: runs.point_to(spark, root, f"v{k}"), range(8)))
+    assert sorted(numbers) == list(range(1, 9))
+    assert runs.latest_run(spark, root) == f"v{numbers.index(8)}"
+    # two that read the same last number, then write
+    assert runs._create(spark, f"{root}/latest/swap-{9:012d}.txt", "other\t9\n")
+    assert runs.point_to(spark, root, "back") == 10 and runs.latest_run(spark, root) == "back"
+    assert not runs._create(spark, f"{root}/latest/swap-{9:012d}.txt", "late\t9\n")
+    assert runs.latest_run(spark, root) == "back"
+
+
+def test_an_unfinished_fit_is_counted_and_not_served(spark):
+    from quotemill.operators import lookup
+    from quotemill.plans.training import fit_report
+
+    coefficients = spark.createDataFrame([(1, True), (2, False), (3, None)], "ticker_id int, converged boolean")
+    assert fit_report(coefficients).first().asDict() == {"tickers": 3, "not_converged": 2}
+    assert fit_report(coefficients.drop("converged")).first().asDict() == {"tickers": 3, "not_converged": 0}
+    points = spark.createDataFrame([(i, i, "2024-01-02") for i in (1, 2, 3, 4)], "request_id long, ticker_id int, date string")
+    reasons = {r["request_id"]: r["reason"] for r in lookup.check_points(points, coefficients).collect()}
+    assert reasons == {1: None, 2: lookup.NOT_CONVERGED, 3: lookup.NOT_CONVERGED, 4: lookup.NO_MODEL}
+    ranges = points.selectExpr("request_id", "ticker_id", "date AS start_date", "date AS end_date")
+    assert {r["request_id"]: r["reason"] for r in lookup.check_ranges(ranges, coefficients).collect()} == reasons
