@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import re
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from quotemill.schemas import DATE, PROVENANCE_COLUMNS, TICKER_ID
 
@@ -26,15 +32,26 @@ def read_parquet_files(
         raise FileNotFoundError(f"no files {files} found in {path}") from problem
 
 
+def _read_merged(spark: SparkSession, path: str) -> DataFrame:
+    """Merged schemas, or a read per schema with widened types where a column's types differ."""
+    try:
+        return read_parquet_files(spark, path)
+    except (PySparkException, Py4JJavaError) as problem:
+        if "CANNOT_MERGE" not in str(problem):
+            raise
+        return read_stacked(spark, path)
+
+
 def read_raw(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Raw price rows, without the provenance that landing adds.
 
     With a declared ``schema`` one file is opened while planning, to see that there is any;
-    otherwise the files' schemas are merged.
+    otherwise the files' schemas are merged, and types that differ are widened.
     """
-    rows = read_parquet_files(spark, path, merge=schema is None)
-    if schema is not None:
-        rows = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
+    if schema is None:
+        return _read_merged(spark, path).drop(*PROVENANCE_COLUMNS)
+    read_parquet_files(spark, path, merge=False)
+    rows = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
     return rows.drop(*PROVENANCE_COLUMNS)
 
 
@@ -54,6 +71,92 @@ def write_cleaned(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def list_files(spark: SparkSession, path: str, files: str = "*.parquet") -> list[str]:
+    """Paths of all files under ``path`` at any depth; none is an error. Only names travel, no content is read."""
+    try:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", files).option("recursiveFileLookup", True).load(path)
+        names = sorted(r["path"] for r in found.select("path").collect())
+    except AnalysisException as problem:
+        if problem.getCondition() not in NOTHING_THERE:
+            raise
+        names = []
+    if not names:
+        raise FileNotFoundError(f"no files {files} found in {path}")
+    return names
+
+
+def schema_groups(spark: SparkSession, names: list[str], at_once: int = 32) -> list[tuple[T.StructType, list[str]]]:
+    """Files by their own schema. Each footer is read by a task of its own; ``at_once`` such jobs run side by side."""
+    with ThreadPoolExecutor(at_once) as pool:
+        schemas = list(pool.map(lambda name: spark.read.parquet(name).schema, names))
+    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    for name, schema in zip(names, schemas, strict=True):
+        groups.setdefault(schema.json(), (schema, []))[1].append(name)
+    return list(groups.values())
+
+
+def common_type(types: list[T.DataType]) -> T.DataType:
+    """The type all values fit: itself, the wider of whole numbers, double for other numbers, else text."""
+    if all(t == types[0] for t in types):
+        return types[0]
+    whole = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
+    if all(t in whole for t in types):
+        return max(types, key=whole.index)
+    if all(isinstance(t, T.NumericType) for t in types):
+        return T.DoubleType()
+    if all(isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)) for t in types):
+        return T.TimestampNTZType()
+    return T.StringType()
+
+
+def stack_widened(parts: list[DataFrame]) -> DataFrame:
+    """All rows over the union of the columns; a column whose types differ gets their common type."""
+    kinds: dict[str, list[T.DataType]] = {}
+    for part in parts:
+        for field in part.schema.fields:
+            kinds.setdefault(field.name, []).append(field.dataType)
+    widest = {name: common_type(types) for name, types in kinds.items()}
+    cast = [part.select(*(F.col(f"`{name}`").cast(widest[name]).alias(name) for name in part.columns)) for part in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cast)
+
+
+def read_stacked(spark: SparkSession, path: str, files: str = "*.parquet", only: set[str] | None = None) -> DataFrame:
+    """All files under ``path``, read once per schema and stacked with widened types; partition columns as text.
+
+    ``only`` keeps the files landed under these names.
+    """
+    names = list_files(spark, path, files)
+    if only is not None:
+        names = [n for n in names if landed_name(n) in only]
+    parts = []
+    for schema, group in schema_groups(spark, names):
+        columns = T.StructType([f for f in schema.fields if f.name != "original_filename"])
+        rows = spark.read.schema(columns).parquet(*group)
+        if landed_name(group[0]) is not None:
+            folder = F.regexp_extract(_file_path(), LANDED, 1)
+            rows = rows.withColumn("original_filename", _decoded(folder))
+        parts.append(rows)
+    return stack_widened(parts)
+
+
+LANDED = "/original_filename=([^/]+)/"
+
+
+def landed_name(path: str) -> str | None:
+    """The name that a file of the raw table was landed under."""
+    found = re.search(LANDED, path)
+    return unquote(found.group(1)) if found else None
+
+
+def _decoded(text: Column) -> Column:
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def _file_path() -> Column:
+    """Path of a row's file as it is listed."""
+    return _decoded(F.col("_metadata.file_path"))
+
+
 def land_raw(
     spark: SparkSession,
     source: str,
@@ -61,21 +164,28 @@ def land_raw(
     uploaded_by: str = "upload_script",  # fixed value
     files: str = "*.parquet",
 ) -> DataFrame:
-    """Land the files under ``source``, each under its own name with its provenance.
+    """Land the files under ``source``, each with its own columns and types under its own name, with its provenance.
 
-    A file landed before under the same name is replaced, the others stay. Returns the rows
-    now landed under the names of this call. No file to land is an error.
+    The name is the path below ``source``, so that equal names in two folders stay two files. Files of one schema are read and
+    written together, one job a schema; a file gets no column of another. A file landed before under the same
+    name is replaced, the others stay. Returns the rows now landed under the names of this call, stacked with widened
+    types. No file to land is an error.
     """
-    landed = read_parquet_files(spark, source, files).select(
-        "*",
-        F.lit(uploaded_by).alias("uploaded_by"),
-        F.col("_metadata.file_name").alias("original_filename"),
-    )
-    (
-        landed.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("original_filename")
-        .parquet(target)
-    )
-    names = landed.select("original_filename").distinct()
-    return read_parquet_files(spark, target).join(names, "original_filename", "left_semi")
+    names = list_files(spark, source, files)
+    folder = source.split(":", 1)[-1].strip("/")
+    above = names[0].split(":", 1)[-1].find(f"{folder}/")
+    # from the root of the store to the folder; a source that is itself a file has its own folder instead
+    whole = names[0].split(":", 1)[-1]
+    top = whole[: above + len(folder)] if above >= 0 else whole.rsplit("/", 1)[0]
+    below = F.substr(_file_path(), F.locate(f"{top}/", _file_path()) + F.lit(len(top) + 1))
+    landed = set()
+    for _, group in schema_groups(spark, names):
+        landed |= {name.split(":", 1)[-1][len(top) + 1 :] for name in group}
+        rows = spark.read.parquet(*group).select("*", F.lit(uploaded_by).alias("uploaded_by"), below.alias("original_filename"))
+        (
+            rows.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("original_filename")
+            .parquet(target)
+        )
+    return read_stacked(spark, target, only=landed)

@@ -54,6 +54,43 @@ def test_landing_keeps_provenance_and_replaces_by_name(spark, tmp_path):
     assert tables.read_raw(spark, landed, raw.schema).count() == 2
 
 
+def test_landing_keeps_each_file_as_it_is(spark, tmp_path):
+    """Types that differ, columns of one file only, equal names in two folders, signs that paths escape."""
+    import pandas as pd
+    import pyarrow.parquet as pq
+
+    given = {
+        "a/f.parquet": pd.DataFrame({"Ticker": ["A", "B"], "Volume": pd.array([1, 2], "int32")}),
+        "b c/f.parquet": pd.DataFrame({"Ticker": ["C"], "Volume": [1.5], "Note": ["n"]}),
+        "1+1=2%.parquet": pd.DataFrame({"Ticker": ["D"], "Volume": pd.array([2**40], "int64")}),
+        "text.parquet": pd.DataFrame({"Ticker": ["E"], "Volume": ["7"]}),
+    }
+    for name, rows in given.items():
+        path = tmp_path / "in" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        rows.to_parquet(path)
+    target = str(tmp_path / "raw")
+    numbers = tables.land_raw(spark, str(tmp_path / "in"), target, files="{f,1*}.parquet")
+    assert dict(numbers.dtypes)["Volume"] == "double"
+    assert sorted((r.original_filename, r.Ticker, r.Volume, r.Note) for r in numbers.collect()) == [
+        ("1+1=2%.parquet", "D", 2.0**40, None),
+        ("a/f.parquet", "A", 1.0, None),
+        ("a/f.parquet", "B", 2.0, None),
+        ("b c/f.parquet", "C", 1.5, "n"),
+    ]
+    # every landed file has its own columns and types
+    stored = {tables.landed_name(p): set(pq.read_schema(p.removeprefix("file:")).names) for p in tables.list_files(spark, target)}
+    assert stored == {n: {*given[n].columns, "uploaded_by"} for n in ("a/f.parquet", "b c/f.parquet", "1+1=2%.parquet")}
+    # one name is replaced, the others stay, also by a file of another type
+    pd.DataFrame({"Ticker": ["Z"], "Volume": ["n/a"]}).to_parquet(tmp_path / "in" / "a" / "f.parquet")
+    tables.land_raw(spark, str(tmp_path / "in"), target, files="f.parquet")
+    raw = tables.read_raw(spark, target)
+    assert dict(raw.dtypes)["Volume"] == "string" and "original_filename" not in raw.columns
+    assert sorted((r.Ticker, float(r.Volume) if r.Ticker != "Z" else r.Volume) for r in raw.collect()) == [("C", 1.5), ("D", 2.0**40), ("Z", "n/a")]
+    one = tables.land_raw(spark, str(tmp_path / "in" / "text.parquet"), target)
+    assert [tuple(r) for r in one.select("Ticker", "Volume", "original_filename").collect()] == [("E", "7", "text.parquet")]
+
+
 def test_no_files_is_an_error(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     for path in ("empty", "missing"):
