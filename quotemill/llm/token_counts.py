@@ -29,7 +29,7 @@ from quotemill.llm.units import UnitEncoder, byte_bpe
 
 LEAF = 32
 # units kept by a worker; two workers of a task hold some, one for the trees and one for the edits
-UNITS = 200_000
+UNITS = 320_000
 EDIT = "array<struct<start: int, stop: int, text: string>>"
 TREE = "chars array<long>, ids array<long>"
 
