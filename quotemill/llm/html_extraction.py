@@ -8,11 +8,16 @@ A slot that is the same on nearly all pages belongs to the template; the others
 whose article is mostly the pivot's own (a copy) says nothing about the template and has no vote.
 
 What varies may still be a menu or an advert, so a slot counts as content only outside regions that the
-markup itself names so (``nav``, ``footer``, ``class="ad"`` and so on), and inside ``article`` or ``main`` if the page
-has one. In a page without either, slots that are mostly link are left out too.
+markup itself so names (``nav``, ``footer``, ``class="ad"`` and so on; within an article fewer names do), and inside
+``article`` or ``main`` if that holds at least a third of the text left, so that a teaser card does not stand for
+the page. In a page without either, slots that are mostly link are left out too.
 
-Alignment is per page and the votes are sums, so a host with a third of all pages is no group in any task. Pivots
-are broadcast while all of them together are below ``PIVOT_BYTES``, and joined by host beyond that.
+Pages are read by one position that only moves on, trees are walked with stacks of their own: broken tags and deep
+nesting cost time in proportion to the page and end no job.
+
+Alignment is per page and the votes are sums, so a host with a third of all pages is no group in any task. The rows
+chosen as pivots are a written table of a row per host, so finding their pages moves no page while it is small.
+Pivots are broadcast while all of them together are below ``PIVOT_BYTES``, and joined by host beyond that.
 
 * null or empty html: empty text; * null url: all such pages share the host ''; * a host with few pages: no
 template, the markup alone decides; * repeated rows: each gets a row; * a very long page: more than ``PAIRS`` pairs of
@@ -21,11 +26,13 @@ siblings are aligned in order between equal ones, not by the quadratic table; *
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.llm.common import map_batches
@@ -38,7 +45,7 @@ INSIDE, OUTSIDE = (0.9, 10), (0.8, 3)
 
 # Fixed values of the HTML language, and words that name regions beside the article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg math object canvas audio video select".split())
+RAW = set("script style noscript template textarea title iframe svg object canvas audio video select".split())
 BLOCK = set(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody "
@@ -58,9 +65,10 @@ ASIDE_WORDS = set(
     "masthead topbar hidden".split()
 )
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>", re.S
-)
+# names that an article uses for its own parts
+ARTICLE_WORDS = {"alert", "legal", "search", "side"}
+MARKUP = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?/]")
+SPECIAL = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 TOLD = re.compile(r"(?i)class|id|role|hidden|style|itemprop")
 EXCLUDED, BODY, MAIN, ARTICLE = 0, 1, 2, 3
@@ -86,7 +94,8 @@ def zone_of(tag: str, told: str, outer: int) -> int:
         given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(told)}
         names = set(re.split(r"[^a-z]+", f"{given.get('class', '')} {given.get('id', '')}".lower()))
         shown = "hidden" not in given and not re.search(r"display:\s*none", given.get("style", ""), re.I)
-        if not shown or names & ASIDE_WORDS and tag not in ("body", "html", "main") or given.get("role", "").lower() in ASIDE_ROLES:
+        words = ASIDE_WORDS - ARTICLE_WORDS if outer == ARTICLE else ASIDE_WORDS
+        if not shown or names & words and tag not in ("body", "html", "main") or given.get("role", "").lower() in ASIDE_ROLES:
             return EXCLUDED
         if "header" in names and outer < ARTICLE and tag not in ("body", "html", "main", "article"):
             return EXCLUDED
@@ -97,16 +106,61 @@ def zone_of(tag: str, told: str, outer: int) -> int:
     return zone
 
 
+def tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Start, end, whether it closes, name and attributes of each tag; comments and the like have no name.
+
+    A tag ends at the first ``>`` outside quotes, or at the first at all if the quotes do not end. A quote from which
+    the end of the page was met is not tried again, so the whole is linear.
+    """
+    at, last = 0, html.rfind(">")
+    hopeless: set[int] = set()
+    while match := MARKUP.search(html, at):
+        start = match.start()
+        if match[0] == "<!--":
+            end = html.find("-->", start + 4)
+            at = len(html) if end < 0 else end + 3
+            yield start, at, False, "", ""
+            continue
+        if start > last:  # no tag ends any more: only an open comment can follow
+            start = html.find("<!--", start)
+            if start >= 0:
+                yield start, len(html), False, "", ""
+            return
+        close, name = match[1], match[2]
+        end, tried = match.end(), []
+        while name:
+            sign = SPECIAL.search(html, end)
+            if sign is None or sign.start() in hopeless:
+                name = None
+            elif sign[0] == ">":
+                end = sign.start()
+                break
+            else:
+                tried.append(sign.start())
+                end = html.find(sign[0], sign.end()) + 1
+                name = name if end else None
+        if name:
+            at = end + 1
+            yield start, at, bool(close), name.lower(), html[match.end() : end]
+        else:
+            hopeless.update(tried)
+            at = html.find(">", match.end()) + 1
+            if not at:
+                return
+            yield start, at, False, "", ""
+
+
 def parse(html: str) -> tuple[Node, list[Node]]:
     """The tree of a page and its slots in page order."""
     root = Node("#root", "#root", BODY)
     stack, slots = [root], []
     pieces: list[str] = []
-    seen = {"link": 0, "all": 0, "open": 0}
+    seen = {"link": 0, "all": 0, "open": 0, "out": 0}
     inner: list[tuple[str, bool]] = []  # inline elements that name a region of their own, open now
+    depths: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag is open
 
     def put(text: str) -> None:
-        if text and stack[-1].zone != EXCLUDED and not any(out for _, out in inner):
+        if text and stack[-1].zone != EXCLUDED and not seen["out"]:
             pieces.append(text)
             size = len(text) - text.count(" ")
             seen["all"] += size
@@ -125,35 +179,36 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         seen["all"] = seen["link"] = 0
 
     def close(tags: set[str], stops: set[str]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in tags:
-                flush()
-                del stack[depth:]
-                inner.clear()
-                return
-            if stack[depth].tag in stops:
-                return
+        depth, stop = (max((depths[t][-1] for t in names if depths.get(t)), default=0) for names in (tags, stops))
+        if depth and depth >= stop:
+            flush()
+            for node in stack[depth:]:
+                depths[node.tag].pop()
+            del stack[depth:]
+            leave()
+
+    def leave() -> None:
+        inner.clear()
+        seen["out"] = 0
 
     at = skip = 0
     lower = None
-    for match in TAG.finditer(html):
-        start, stop = match.span()
+    for start, stop, closes, tag, told in tags(html):
         if start < skip:
             continue
         put(html[max(at, skip) : start])
         at = stop
-        tag = match[2].lower() if match[2] else ""
         if not tag:
             continue
-        if match[1]:
+        if closes:
             if tag in BLOCK:
                 close({tag}, {"html"})
             elif tag == "a":
                 seen["open"] = max(0, seen["open"] - 1)
             if inner and inner[-1][0] == tag:
-                inner.pop()
+                seen["out"] -= inner.pop()[1]
         elif tag in RAW:
-            if match[3].rstrip().endswith("/") and tag == "svg":
+            if told.rstrip().endswith("/") and tag == "svg":
                 continue
             lower = html.lower() if lower is None else lower
             end = lower.find(f"</{tag}", stop)
@@ -167,17 +222,19 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             close({"p"}, KEEPS_P)
             flush()
             if tag != "hr":
-                zone = zone_of(tag, match[3], stack[-1].zone)
-                named = re.search(r"class\s*=\s*[\"']?([\w-]*)", match[3])
+                zone = zone_of(tag, told, stack[-1].zone)
+                named = re.search(r"class\s*=\s*[\"']?([\w-]*)", told)
                 node = Node(tag, f"{tag}.{named[1]}" if named else tag, zone)
                 if zone != EXCLUDED:
                     stack[-1].kids.append(node)
+                depths[tag].append(len(stack))
                 stack.append(node)
-                inner.clear()
+                leave()
         elif tag == "a":
             seen["open"] += 1
-        if tag not in BLOCK and tag not in VOID and tag not in RAW and not match[1] and (inner or TOLD.search(match[3])):
-            inner.append((tag, zone_of(tag, match[3], stack[-1].zone) == EXCLUDED))
+        if tag not in BLOCK and tag not in VOID and tag not in RAW and not closes and (inner or TOLD.search(told)):
+            inner.append((tag, zone_of(tag, told, stack[-1].zone) == EXCLUDED))
+            seen["out"] += inner[-1][1]
     put(html[max(at, skip) :])
     flush()
     return fold(root), slots
@@ -185,32 +242,65 @@ def parse(html: str) -> tuple[Node, list[Node]]:
 
 def fold(node: Node) -> Node:
     """Elements that hold one slot and nothing else become that slot; empty ones go."""
-    kids = []
-    for kid in node.kids:
-        if kid.kids is None:
-            kids.append(kid)
-            continue
-        fold(kid)
-        if len(kid.kids) == 1 and kid.kids[0].kids is None:
-            kid.kids[0].key = f"{kid.key}>{kid.kids[0].key}"
-            kids.append(kid.kids[0])
-        elif kid.kids:
-            kids.append(kid)
-    node.kids = kids
+    below = [node]
+    for element in below:  # grows while it is walked: elements before what they hold
+        below += (kid for kid in element.kids if kid.kids is not None)
+    for element in reversed(below):
+        kids = []
+        for kid in element.kids:
+            if kid.kids is not None and len(kid.kids) == 1 and kid.kids[0].kids is None:
+                path = f"{kid.key}>{kid.kids[0].key}"
+                # a digest keeps the keys of deep chains short, and equal where the paths are
+                kid.kids[0].key = path if len(path) < 500 else hashlib.blake2b(path.encode(errors="replace")).hexdigest()
+                kids.append(kid.kids[0])
+            elif kid.kids is None or kid.kids:
+                kids.append(kid)
+        element.kids = kids
     return node
 
 
-def matching(a: list[Node], b: list[Node], memo: dict) -> tuple[int, list[tuple[int, int]]]:
-    """The best order-keeping pairing of two lists of siblings, and its weight."""
-    head = 0
-    while head < len(a) and head < len(b) and a[head].kids is None and a[head].text == b[head].text and a[head].key == b[head].key:
+def ends(a: list[Node], b: list[Node]) -> tuple[int, int]:
+    """How many siblings at the head and at the tail of two lists are equal slots."""
+    equal = lambda x, y: x.kids is None and y.kids is None and x.text == y.text and x.key == y.key
+    head = tail = 0
+    while head < len(a) and head < len(b) and equal(a[head], b[head]):
         head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head:
-        x, y = a[-1 - tail], b[-1 - tail]
-        if x.kids is not None or x.text != y.text or x.key != y.key:
-            break
+    while tail < min(len(a), len(b)) - head and equal(a[-1 - tail], b[-1 - tail]):
         tail += 1
+    return head, tail
+
+
+def matching(a: list[Node], b: list[Node], memo: dict) -> tuple[int, list[tuple[int, int]]]:
+    """The best order-keeping pairing of two lists of siblings, and its weight. Pairs of elements below come first."""
+    todo: list[tuple[tuple[int, int] | None, list[Node], list[Node], bool]] = [(None, a, b, False)]
+    while todo:
+        name, left, right, ready = todo.pop()
+        if name in memo:
+            continue
+        if ready:
+            memo[name] = pairing(left, right, memo)
+            continue
+        if name is not None:
+            todo.append((name, left, right, True))
+        head, tail = ends(left, right)
+        left, right = left[head : len(left) - tail], right[head : len(right) - tail]
+        if len(left) * len(right) > PAIRS:
+            continue
+        likes = defaultdict(list)
+        for y in right:
+            if y.kids is not None:
+                likes[y.key].append(y)
+        for x in left:
+            if x.kids is not None:
+                todo += (
+                    ((id(x), id(y)), x.kids, y.kids, False) for y in likes.get(x.key, ()) if (id(x), id(y)) not in memo
+                )
+    return pairing(a, b, memo)
+
+
+def pairing(a: list[Node], b: list[Node], memo: dict) -> tuple[int, list[tuple[int, int]]]:
+    """One level of ``matching``: the weights of pairs of elements are in ``memo``."""
+    head, tail = ends(a, b)
     pairs = [(i, i) for i in range(head)] + [(len(a) - 1 - i, len(b) - 1 - i) for i in range(tail)]
     total = 2 * (head + tail)
     left, right = a[head : len(a) - tail], b[head : len(b) - tail]
@@ -288,14 +378,17 @@ def weight(a: Node, b: Node, memo: dict) -> int:
 
 def align(pivot: Node, page: Node, memo: dict, found: dict[int, Node]) -> None:
     """Fill ``found``: the slot of the pivot for each place of a slot of the page."""
-    name = (id(pivot), id(page))
-    _, pairs = memo[name] if name in memo else matching(pivot.kids, page.kids, memo)
-    for i, j in pairs:
-        x, y = pivot.kids[i], page.kids[j]
-        if x.kids is None and y.kids is None:
-            found[y.place] = x
-        elif x.kids is not None and y.kids is not None:
-            align(x, y, memo, found)
+    todo = [(pivot, page)]
+    while todo:
+        a, b = todo.pop()
+        name = (id(a), id(b))
+        _, pairs = memo[name] if name in memo else matching(a.kids, b.kids, memo)
+        for i, j in pairs:
+            x, y = a.kids[i], b.kids[j]
+            if x.kids is None and y.kids is None:
+                found[y.place] = x
+            elif x.kids is not None and y.kids is not None:
+                todo.append((x, y))
 
 
 SLOT = "struct<text: string, place: int, same: boolean, zone: int, linked: boolean>"
@@ -323,6 +416,7 @@ def extract(pages: DataFrame) -> DataFrame:
     keyed = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host"))
     rank = F.struct(F.xxhash64("url", "page_id").alias("rank"), "page_id", "url")
     chosen = keyed.filter("html is not null and html <> ''").groupBy("host").agg(F.min(rank).alias("best"))
+    chosen = settle(chosen, "html-chosen")
     same_row = (
         (keyed["host"] == F.col("at"))
         & keyed["page_id"].eqNullSafe(F.col("best.page_id"))
@@ -371,17 +465,25 @@ def extract(pages: DataFrame) -> DataFrame:
         )
     )
     template = settle(template, "html-template")
-    zone = F.coalesce(F.array_max(F.transform("slots", lambda s: s["zone"])), F.lit(BODY))
     none = F.array().cast("array<int>")
-    content = F.filter(
-        "slots",
-        lambda s: (s["zone"] == F.col("zone"))
-        # another text at a place of the template is content
-        & F.when(s["zone"] > BODY, ~(s["same"] & F.array_contains(F.coalesce("inside", none), s["place"]))).otherwise(
-            ~(s["same"] & F.array_contains(F.coalesce("outside", none), s["place"])) & ~s["linked"]
-        ),
-    )
+
+    def own(s: Column) -> Column:  # another text at a place of the template is content
+        inside, outside = (
+            ~(s["same"] & F.array_contains(F.coalesce(name, none), s["place"])) for name in ("inside", "outside")
+        )
+        return F.when(s["zone"] > BODY, inside).otherwise(outside & ~s["linked"])
+
+    def size_from(zone: int) -> Column:
+        return F.aggregate(
+            "own", F.lit(0).cast("long"), lambda n, s: n + F.when(s["zone"] >= zone, F.length(s["text"])).otherwise(0)
+        )
+
+    zone = F.lit(BODY)
+    for inner in (MAIN, ARTICLE):
+        zone = F.when((size_from(inner) > 0) & (3 * size_from(inner) >= size_from(BODY)), F.lit(inner)).otherwise(zone)
     # numbers of slots of the pivots: smaller than the pivots
-    texts = slots.join(F.broadcast(template) if size <= PIVOT_BYTES else template, "host", "left").withColumn("zone", zone)
+    texts = slots.join(F.broadcast(template) if size <= PIVOT_BYTES else template, "host", "left")
+    texts = texts.withColumn("own", F.filter("slots", own)).withColumn("zone", zone)
+    content = F.filter("own", lambda s: s["zone"] >= F.col("zone"))
     text = F.array_join(F.transform(content, lambda s: s["text"]), " ")
     return texts.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

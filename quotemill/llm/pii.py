@@ -242,11 +242,16 @@ def find(text: str) -> list[tuple[int, int, Kind]]:
         return []
     found: list[tuple[int, int, Kind]] = []
     for kind in KINDS:
+        at, new = 0, []  # matches of a kind and what earlier kinds found are both in order
         for match in kind.pattern.finditer(text):
             start, stop = match.span(1)
-            if kind.valid(match[1]) and not any(start < b and a < stop for a, b, _ in found):
-                found.append((start, stop, kind))
-    return sorted(found, key=lambda f: f[0])
+            while at < len(found) and found[at][1] <= start:
+                at += 1
+            if kind.valid(match[1]) and (at == len(found) or stop <= found[at][0]):
+                new.append((start, stop, kind))
+        if new:
+            found = sorted(found + new, key=lambda f: f[0])
+    return found
 
 
 def rewrite(text: str, permute: Permuter) -> tuple[str, list[tuple[int, int, Kind]]]:
