@@ -30,7 +30,7 @@ import hashlib
 import html as entities
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -410,6 +410,11 @@ def slots_of(html: str | None, pivot: tuple[Node, list[Node]]) -> tuple[list[dic
     return out, bool(slots) and 2 * equal <= whole
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out a single time, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars``."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1), F.lit("")))
@@ -473,17 +478,25 @@ def extract(pages: DataFrame) -> DataFrame:
         )
         return F.when(s["zone"] > BODY, inside).otherwise(outside & ~s["linked"])
 
-    def size_from(zone: int) -> Column:
-        return F.aggregate(
-            "own", F.lit(0).cast("long"), lambda n, s: n + F.when(s["zone"] >= zone, F.length(s["text"])).otherwise(0)
+    def zone_in(kept: Column) -> Column:
+        sizes = F.aggregate(
+            kept,
+            F.struct(*(F.lit(0).cast("long").alias(name) for name in ("body", "main", "article"))),
+            lambda n, s: F.struct(
+                *(
+                    (n[name] + F.when(s["zone"] >= zone, F.length(s["text"])).otherwise(0)).alias(name)
+                    for name, zone in (("body", BODY), ("main", MAIN), ("article", ARTICLE))
+                )
+            ),
         )
+        enough = lambda n, name: (n[name] > 0) & (3 * n[name] >= n["body"])
+        return once(sizes, lambda n: F.when(enough(n, "article"), ARTICLE).when(enough(n, "main"), MAIN).otherwise(BODY))
+
+    def content(kept: Column) -> Column:
+        within = once(zone_in(kept), lambda zone: F.filter(kept, lambda s: s["zone"] >= zone))
+        return F.array_join(F.transform(within, lambda s: s["text"]), " ")
 
-    zone = F.lit(BODY)
-    for inner in (MAIN, ARTICLE):
-        zone = F.when((size_from(inner) > 0) & (3 * size_from(inner) >= size_from(BODY)), F.lit(inner)).otherwise(zone)
     # numbers of slots of the pivots: smaller than the pivots
     texts = slots.join(F.broadcast(template) if size <= PIVOT_BYTES else template, "host", "left")
-    texts = texts.withColumn("own", F.filter("slots", own)).withColumn("zone", zone)
-    content = F.filter("own", lambda s: s["zone"] >= F.col("zone"))
-    text = F.array_join(F.transform(content, lambda s: s["text"]), " ")
+    text = once(F.filter("slots", own), content)
     return texts.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
