@@ -16,7 +16,7 @@ from quotemill.operators.returns import daily_return
 from quotemill.plans import cleaning, training
 from quotemill.schemas import FORECAST, TICKER_ID
 from quotemill.session import scratch_path, settle
-from quotemill.sources import runs, tables
+from quotemill.sources import cleans, runs, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -424,6 +424,30 @@ def write_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(cleaning.run_clean(spark, *paths), 6, "Daily_Return")
 
 
+def _second_clean(spark: SparkSession, sf_dir: str) -> cleans.CleanVersion:
+    """A version of the later tickers alone, then one of all: the earlier ones come as new."""
+    some, every, root = (scratch_path(spark, name) for name in ("raw-some", "raw-every", "cleans"))
+    raw = _raw(spark, sf_dir)
+    raw.where("Ticker >= 'J'").write.parquet(some)
+    raw.write.parquet(every)
+    cleaning.clean_version(spark, some, root, "20240101_000000")
+    return cleaning.clean_version(spark, every, root, "20240102_000000")
+
+
+def clean_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned rows of a second version, with the names of their ids."""
+    second = _second_clean(spark, sf_dir)
+    return _rounded(second.cleaned.join(second.tickers, TICKER_ID, "left"), 6, "Daily_Return")
+
+
+def stable_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _second_clean(spark, sf_dir).tickers
+
+
+def clean_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _second_clean(spark, sf_dir).counts
+
+
 def forecast_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "forecast-csv")
     runs.write_forecast_csv(_weekly_forecast(spark, sf_dir)[2].select(*FORECAST.fieldNames()), path)
@@ -506,6 +530,9 @@ QUERIES: dict[str, Query] = {
     "load_model": load_model,
     "land_raw": land_raw,
     "write_cleaned": write_cleaned,
+    "clean_version": clean_version,
+    "stable_tickers": stable_tickers,
+    "clean_counts": clean_counts,
     "forecast_csv_roundtrip": forecast_csv_roundtrip,
     "metrics_json": metrics_json,
     "latest_run": latest_run,

@@ -44,6 +44,18 @@ def ticker_dictionary(df: DataFrame) -> DataFrame:
     return settle(ids, "ticker-dictionary")
 
 
+def new_tickers(df: DataFrame, known: DataFrame) -> DataFrame:
+    """``(Ticker, ticker_id)`` of the tickers that ``known`` lacks, numbered in ticker order after its largest id.
+
+    Ids once given never change, so rows written under an older dictionary stay right under the two together.
+    """
+    names = distinct_tickers(df).alias("names")
+    known = known.alias("known")
+    unknown = names.join(known, F.col(f"names.{TICKER}").eqNullSafe(F.col(f"known.{TICKER}")), "left_anti")
+    last = known.agg(F.max(TICKER_ID)).first()[0] or 0
+    return ticker_dictionary(unknown).select(TICKER, (F.col(TICKER_ID) + F.lit(last)).cast("int").alias(TICKER_ID))
+
+
 def encode_ticker(df: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Replace ``Ticker`` by its id. Rows without a ticker stay, with a null id.
 

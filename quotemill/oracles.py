@@ -47,6 +47,10 @@ CTES = {
     "raw_ids": """
         SELECT Ticker, CAST(row_number() OVER (ORDER BY Ticker NULLS FIRST) AS INTEGER) AS ticker_id
         FROM (SELECT DISTINCT Ticker FROM raw)""",
+    "stable_ids": """
+        SELECT Ticker, CAST(row_number() OVER (ORDER BY coalesce(Ticker >= 'J', false) DESC, Ticker NULLS FIRST) AS INTEGER)
+            AS ticker_id
+        FROM (SELECT DISTINCT Ticker FROM raw)""",
     "bar_ids": """
         SELECT Ticker, CAST(row_number() OVER (ORDER BY Ticker) AS INTEGER) AS ticker_id
         FROM (SELECT DISTINCT Ticker FROM bars)""",
@@ -394,6 +398,18 @@ ORACLES["land_raw"] = """
     UNION ALL BY NAME
     SELECT *, 'supplier.parquet' AS original_filename, 'upload_script' AS uploaded_by FROM supplier"""
 ORACLES["write_cleaned"] = ORACLES["clean_prices"]
+_STABLE = _CLEANED.replace("raw_ids", "stable_ids")
+ORACLES["clean_version"] = _query("SELECT cleaned.*, Ticker FROM cleaned LEFT JOIN stable_ids USING (ticker_id)", _STABLE)
+ORACLES["stable_tickers"] = _query("SELECT Ticker, ticker_id FROM stable_ids")
+ORACLES["clean_counts"] = _query(
+    """
+    SELECT (SELECT count(*) FROM raw) AS rows_read, count(*) AS rows_clean,
+           count(*) FILTER (ticker_id IS NULL) AS rows_without_ticker, count(*) FILTER (Close IS NULL) AS rows_close_unread,
+           (SELECT count(*) FROM stable_ids) AS tickers,
+           (SELECT count(*) FROM stable_ids WHERE Ticker IS NULL OR Ticker < 'J') AS new_tickers
+    FROM cleaned""",
+    _STABLE,
+)
 ORACLES["forecast_csv_roundtrip"] = ORACLES["forecast"]
 ORACLES["metrics_json"] = ORACLES["metrics"]
 ORACLES["load_model"] = f"SELECT '20250101_000000' AS run_ts, * FROM ({ORACLES['fit_trend_weekly']})"

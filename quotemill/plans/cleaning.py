@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quotemill.functions.scalars import parse_date
+from quotemill.functions.scalars import parse_date, run_id
 from quotemill.operators import clean
 from quotemill.operators.returns import daily_return
-from quotemill.schemas import CRITICAL_COLUMNS, DATE
+from quotemill.schemas import CRITICAL_COLUMNS, DATE, TICKER_DICTIONARY, TICKER_ID
 from quotemill.session import settle
-from quotemill.sources.tables import read_raw, write_cleaned
+from quotemill.sources.cleans import CleanVersion, current_version, load_clean, part
+from quotemill.sources.runs import point_to
+from quotemill.sources.tables import read_parquet_files, read_raw, write_cleaned
 
 
 def clean_prices(
@@ -79,14 +81,64 @@ def run_clean(
     report_path: str | None = None,
     **options: bool,
 ) -> DataFrame:
-    """Read the raw table, write the ticker dictionary and the cleaned table, return the latter.
+    """Read the raw table, add its new tickers to the dictionary, replace the cleaned table and return it.
 
-    With ``report_path`` the row counts of every step are written there as JSON.
+    The dictionary only grows, so a job that fails leaves ids that fit the old rows. ``clean_version`` also keeps
+    the old rows readable. With ``report_path`` the row counts of every step are written there as JSON.
     """
     raw = read_raw(spark, raw_path)
-    clean.ticker_dictionary(raw).write.mode("overwrite").parquet(dictionary_path)
-    dictionary = spark.read.parquet(dictionary_path)
+    try:
+        found = clean.new_tickers(raw, read_parquet_files(spark, dictionary_path, merge=False))
+    except FileNotFoundError:
+        found = clean.ticker_dictionary(raw)
+    found.write.mode("append").parquet(dictionary_path)
+    dictionary = spark.read.schema(TICKER_DICTIONARY).parquet(dictionary_path)
     write_cleaned(clean_prices(raw, dictionary, **options), cleaned_path)
     if report_path is not None:
         clean_report(raw).write.mode("overwrite").json(report_path)
     return spark.read.parquet(cleaned_path)
+
+
+def clean_version(
+    spark: SparkSession,
+    raw_path: str,
+    root: str,
+    version: str | None = None,
+    renumber: bool = False,
+    **options: bool,
+) -> CleanVersion:
+    """Clean into a new version below ``root``: cleaned rows, ticker names and counts, then one swap of the pointer.
+
+    Until the swap, and so also after a failure, readers get the version before, whole. Tickers keep their ids and new
+    ones follow; ``renumber`` numbers all in ticker order, as the original does at every run. The counts are those of
+    committed files, so no repeated task can be counted twice: the raw rows and the cleaned rows come from the footers,
+    what is missing in the latter from two of its columns. ``version`` defaults to the time of the call.
+    """
+    if version is None:
+        version = spark.range(1).select(run_id(F.current_timestamp()).alias("version")).first()["version"]
+    before = current_version(spark, root)
+    if version == before:
+        raise ValueError(f"version {version} is the current one of {root}")
+    raw = read_raw(spark, raw_path)
+    if before is None or renumber:
+        names = found = clean.ticker_dictionary(raw)
+    else:
+        known = load_clean(spark, root, before).tickers
+        found = clean.new_tickers(raw, known)
+        names = known.unionByName(found)
+    names.write.mode("overwrite").parquet(part(root, "tickers", version))
+    names = spark.read.schema(TICKER_DICTIONARY).parquet(part(root, "tickers", version))
+    write_cleaned(clean_prices(raw, names, **options), part(root, "cleaned", version))
+    stored = spark.read.parquet(part(root, "cleaned", version))
+    unread = F.col("Close").isNull() if "Close" in stored.columns else F.lit(False)
+    counts = stored.agg(
+        F.lit(raw.count()).alias("rows_read"),
+        F.count("*").alias("rows_clean"),
+        F.count_if(F.col(TICKER_ID).isNull()).alias("rows_without_ticker"),
+        F.count_if(unread).alias("rows_close_unread"),
+        F.lit(names.count()).alias("tickers"),
+        F.lit(found.count()).alias("new_tickers"),
+    )
+    counts.write.mode("overwrite").json(part(root, "counts", version))
+    point_to(spark, root, version)
+    return load_clean(spark, root, version)

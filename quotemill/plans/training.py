@@ -13,6 +13,7 @@ from quotemill.operators.decomposable import fit_decomposable, score_decomposabl
 from quotemill.operators.metrics import actual_vs_predicted, density, error_metrics, histogram, value_range
 from quotemill.operators.series import forecast_axis, keep_most_common, series_range, training_series
 from quotemill.operators.trend_weekly import fit_trend_weekly, score_trend_weekly, weekly_profile
+from quotemill.schemas import TICKER_ID
 from quotemill.session import settle
 from quotemill.sources.runs import Run, load_run, write_run
 
@@ -61,11 +62,13 @@ def train_all(
     model: Model = DECOMPOSABLE,
     periods: int = 365,
     only_most_common: bool = False,
+    tickers: DataFrame | None = None,
 ) -> Run:
     """Fit, forecast, measure and store all tickers, or only the most common one.
 
     The run also holds ``series_range`` (days and dates per ticker), ``fit_report`` (how many fits converged) and the tables behind the plots:
-    ``actual_vs_predicted``, ``profiles``, ``histogram``, ``density``. ``run_ts`` defaults to the time of the call.
+    ``actual_vs_predicted``, ``profiles``, ``histogram``, ``density``. With ``tickers`` it holds the names of its ids, so that it can be asked by name
+    however the ids move later. ``run_ts`` defaults to the time of the call.
     """
     spark: SparkSession = cleaned.sparkSession
     if run_ts is None:
@@ -90,6 +93,7 @@ def train_all(
             "profiles": model.profiles(coefficients),
             "histogram": histogram(predicted, ranges),
             "density": density(predicted, ranges),
+            **({} if tickers is None else {"tickers": tickers.join(coefficients, TICKER_ID, "left_semi")}),
         },
     )
     return load_run(spark, root)

@@ -21,7 +21,14 @@ def table_schema(**columns: T.DataType) -> T.StructType:
 
 
 TICKER_DICTIONARY = table_schema(Ticker=T.StringType(), ticker_id=T.IntegerType())
-TRAINING_SERIES = table_schema(ticker_id=T.IntegerType(), ds=T.DateType(), y=T.DoubleType())
+CLEAN_COUNTS = table_schema(
+    rows_read=T.LongType(),
+    rows_clean=T.LongType(),
+    rows_without_ticker=T.LongType(),
+    rows_close_unread=T.LongType(),
+    tickers=T.LongType(),
+    new_tickers=T.LongType(),
+)
 
 FORECAST = table_schema(
     ticker_id=T.IntegerType(),

@@ -20,7 +20,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from quotemill.schemas import FORECAST, METRICS
+from quotemill.schemas import FORECAST, METRICS, TICKER_DICTIONARY
 from quotemill.sources.tables import NOTHING_THERE
 
 
@@ -134,6 +134,7 @@ class Run:
     forecast: DataFrame
     metrics: DataFrame
     model: str
+    tickers: DataFrame | None = None
 
 
 def load_run(spark: SparkSession, root: str, run_ts: str | None = None) -> Run:
@@ -145,4 +146,15 @@ def load_run(spark: SparkSession, root: str, run_ts: str | None = None) -> Run:
         spark.read.parquet(_part(root, "forecast", version)),
         read_metrics_json(spark, _part(root, "metrics", version)),
         spark.read.text(_part(root, "model", version)).first()["value"],
+        _names(spark, _part(root, "tickers", version)),
     )
+
+
+def _names(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ticker names stored with a run, None if it was trained without."""
+    try:
+        return spark.read.schema(TICKER_DICTIONARY).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() not in NOTHING_THERE:
+            raise
+        return None
