@@ -34,6 +34,7 @@ from quotemill.session import scratch_path
 LONGEST = 20
 STRIDE = 256
 BLOCK = 1 << 17
+UNITS = 1_400_000  # kept in a worker: about 200 MB
 END = 0
 
 BLOCKS = "part int, block int, start long, doc_ids array<long>, counts array<int>, ids binary"
@@ -139,7 +140,7 @@ def encode_blocks(docs: DataFrame, spec: str, parts: int) -> DataFrame:
     schema = arrow_schema(BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = once_per_worker(("byte_bpe_marks", key), lambda: byte_bpe(vocabulary.value, marks=True))
+        encoder = once_per_worker(("byte_bpe_marks", key), lambda: byte_bpe(vocabulary.value, marks=True, limit=UNITS))
         part, block, start, size = TaskContext.get().partitionId(), 0, 0, 0
         ids, counts, pieces = [], [], []
         end = np.array([END], np.uint32).tobytes()
