@@ -22,8 +22,21 @@ def clean_prices(
 ) -> DataFrame:
     """Deduplicate, encode the ticker, repair nulls, dates and numbers, add the daily return.
 
+    Rows come in no order; ``write_cleaned`` lays them out.
+    """
+    return daily_return(repaired_rows(raw, dictionary, compat, drop_unparsed))
+
+
+def repaired_rows(
+    raw: DataFrame,
+    dictionary: DataFrame | None = None,
+    compat: bool = False,
+    drop_unparsed: bool = False,
+) -> DataFrame:
+    """Deduplicate, encode the ticker, repair nulls, dates and numbers.
+
     ``compat`` repeats the original number scrub, ``drop_unparsed`` also drops the rows whose
-    close or volume could not be read. Rows come in no order; ``write_cleaned`` lays them out.
+    close or volume could not be read.
 
     The repaired rows are written once: the return reads two or three of their columns
     repeatedly, which would otherwise repeat the deduplication.
@@ -35,7 +48,7 @@ def clean_prices(
     rows = clean.scrub_numbers(rows, compat)
     if drop_unparsed:
         rows = clean.drop_null_rows(rows)
-    return daily_return(settle(rows, "repaired"))
+    return settle(rows, "repaired")
 
 
 def clean_report(raw: DataFrame) -> DataFrame:
@@ -93,7 +106,8 @@ def run_clean(
         found = clean.ticker_dictionary(raw)
     found.write.mode("append").parquet(dictionary_path)
     dictionary = spark.read.schema(TICKER_DICTIONARY).parquet(dictionary_path)
-    write_cleaned(clean_prices(raw, dictionary, **options), cleaned_path)
+    rows = repaired_rows(raw, dictionary, **options)
+    write_cleaned(daily_return(rows), cleaned_path, like=rows)
     if report_path is not None:
         clean_report(raw).write.mode("overwrite").json(report_path)
     return spark.read.parquet(cleaned_path)
@@ -128,7 +142,8 @@ def clean_version(
         names = known.unionByName(found)
     names.write.mode("overwrite").parquet(part(root, "tickers", version))
     names = spark.read.schema(TICKER_DICTIONARY).parquet(part(root, "tickers", version))
-    write_cleaned(clean_prices(raw, names, **options), part(root, "cleaned", version))
+    rows = repaired_rows(raw, names, **options)
+    write_cleaned(daily_return(rows), part(root, "cleaned", version), like=rows)
     stored = spark.read.parquet(part(root, "cleaned", version))
     unread = F.col("Close").isNull() if "Close" in stored.columns else F.lit(False)
     counts = stored.agg(

@@ -9,11 +9,14 @@ from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from quotemill.schemas import DATE, PROVENANCE_COLUMNS, TICKER_ID
+from quotemill.session import settle
 
 
+# rows of a file of the cleaned table: about 200 MB
+PER_FILE = 4_000_000
 NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
@@ -59,14 +62,37 @@ def read_cleaned(spark: SparkSession, path: str) -> DataFrame:
     return read_parquet_files(spark, path)
 
 
-def write_cleaned(df: DataFrame, path: str) -> None:
+def day_slots(rows: DataFrame, per_file: int) -> tuple[DataFrame, int]:
+    """``(Date, slot, width)``: the files each day is dealt over, and how many files there are.
+
+    The files follow the days in order and hold about ``per_file`` rows; a day with more gets several. One row per day: the
+    running sum is over the calendar, not over the rows.
+    """
+    days = settle(rows.groupBy(DATE).agg(F.count("*").alias("n")), "days")
+    total = days.agg(F.sum("n")).first()[0] or 0
+    files = max(1, -(-total // per_file))
+    to_here = F.sum("n").over(Window.orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0))
+    at = lambda row: F.floor(row * files / total) if total else F.lit(0)
+    placed = days.select(F.col(DATE).alias("_day"), "n", to_here.alias("_sum"))
+    first, last = at(F.col("_sum") - F.col("n")), at(F.col("_sum") - 1)
+    return placed.select("_day", first.cast("int").alias("_slot"), (last - first + 1).cast("int").alias("_width")), files
+
+
+def write_cleaned(df: DataFrame, path: str, like: DataFrame | None = None, per_file: int = PER_FILE) -> None:
     """Replace the cleaned table, laid out by date so that date filters skip files.
 
-    The row hash lets the range split go through a day or a ticker that holds many rows.
+    The row hash lets the split go through a day or a ticker that holds many rows. Spark's range split works ``df`` out
+    a first time to sample it. With ``like``, a written table of the same days, the files are chosen from its counts a
+    day instead, and ``df`` is worked out once.
     """
     order = [c for c in (DATE, TICKER_ID) if c in df.columns]
-    if order:
-        spread = F.xxhash64(*[F.col(f"`{name}`") for name in df.columns])
+    spread = F.xxhash64(*[F.col(f"`{name}`") for name in df.columns])
+    if like is not None and DATE in order:
+        slots, files = day_slots(like, per_file)
+        slot = F.coalesce(F.col("_slot") + F.pmod(spread, "_width"), F.lit(0)).cast("int")
+        dealt = df.join(slots, df[DATE].eqNullSafe(slots["_day"]), "left").withColumn("_file", slot)
+        df = dealt.repartitionById(files, "_file").sortWithinPartitions(*order).select(*(f"`{c}`" for c in df.columns))
+    elif order:
         df = df.repartitionByRange(*order, spread).sortWithinPartitions(*order)
     df.write.mode("overwrite").parquet(path)
 

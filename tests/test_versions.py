@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from quotemill.operators import clean
 from quotemill.plans import cleaning, serving, training
-from quotemill.sources import cleans
+from quotemill.sources import cleans, tables
 from tests.test_runs import RAW_SCHEMA, raw_frame, rows_of
 
 
@@ -42,7 +43,7 @@ def test_a_failed_clean_leaves_the_pair_before(spark, tmp_path, monkeypatch):
     rows, names = rows_of(before.cleaned), rows_of(before.tickers)
     put(spark, raw, "A", "M")
 
-    def broken(df, path):
+    def broken(df, path, like):
         df.limit(1).write.parquet(path)
         raise RuntimeError("lost")
 
@@ -105,3 +106,24 @@ def test_a_run_is_asked_by_name(spark, tmp_path):
     assert unnamed.tickers is None
     with pytest.raises(ValueError, match="without ticker names"):
         serving.by_ticker_id(asked, unnamed)
+
+
+def test_files_are_chosen_by_day_counts(spark, tmp_path):
+    """A day with half of the rows is dealt over files; files follow the days; nothing is lost or doubled."""
+    rows = spark.range(4000).selectExpr(
+        "CASE WHEN id % 2 = 0 THEN DATE '2024-01-15' WHEN id % 401 = 1 THEN NULL ELSE DATE '2024-01-01' + CAST(id % 30 AS INT) END AS Date",
+        "CAST(id % 3 AS INT) AS ticker_id",
+        "CAST(id AS DOUBLE) AS Close",
+    )
+    path = str(tmp_path / "t")
+    tables.write_cleaned(rows, path, like=rows, per_file=250)
+    out = spark.read.parquet(path)
+    assert rows_of(out) == rows_of(rows)
+    files = out.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), F.min("Date").alias("a"), F.max("Date").alias("b"))
+    found = sorted(files.collect(), key=lambda r: (r.a, r.b))
+    assert len(found) == 16 and max(r.n for r in found) <= 3 * 250
+    assert all(before.b <= after.a for before, after in zip(found, found[1:]))
+    tables.write_cleaned(rows.limit(0), path, like=rows.limit(0))
+    assert spark.read.parquet(path).count() == 0
+    tables.write_cleaned(rows.drop("Date"), path, like=rows)
+    assert spark.read.parquet(path).count() == 4000
