@@ -93,6 +93,15 @@ def _create(spark: SparkSession, path: str, line: str) -> bool:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() == "file":  # its create looks first and makes the file later; this one is a single step
+        file = jvm.java.io.File(place.toUri().getPath())
+        file.getParentFile().mkdirs()
+        if not file.createNewFile():
+            return False
+        out = jvm.java.io.FileOutputStream(file)
+        out.write(bytearray(line.encode()))
+        out.close()
+        return True
     try:
         out = system.create(place, False)
     except Py4JJavaError as problem:
